@@ -85,34 +85,43 @@ def _sketch(batches: Iterator[pd.DataFrame], k: int, m: int, rows: int) -> Itera
                 for doc_id, text in zip(part["doc_id"], part["text"]):
                     s = shingles(hashed((text or "").encode("utf-8", "surrogatepass").lower().split()), k)
                     if not len(s):
-                        out.append((doc_id, 0, None, None, None))
+                        out.append((doc_id, 0, None, None))
                         continue
                     sig = superminhash(s, m).reshape(-1, rows)
                     band = np.arange(len(sig), dtype=np.uint64)
                     for c in range(rows):
                         band = mix(band * GOLD + sig[:, c])
-                    out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), s.tobytes(), band.view(np.int64)))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "items", "bands"])
+                    out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), band.view(np.int64)))
+                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets are similar enough; each set is compared where it arrives."""
-    a = sets.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
-    b = sets.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
+def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those (a, b) whose full sets are similar enough; sets are made again, only for documents in `pairs`."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = Words()
+        with np.errstate(over="ignore"):
+            for x in batches:
+                for at in range(0, len(x), 256):
+                    part = x.iloc[at : at + 256]
+                    items = [shingles(hashed((t or "").encode("utf-8", "surrogatepass").lower().split()), k).tobytes() for t in part["text"]]
+                    yield pd.DataFrame({"rep": part["doc_id"].array, "items": items})
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
             p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                out.append(False)
-                continue
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    return cut(pairs.join(a, "a").join(b, "b").where(similar("ia", "ib")).select("a", "b"))
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    found = cut(texts.mapInPandas(sets, "rep long, items binary"))
+    x = found.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
+    y = found.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
+    return cut(pairs.join(x, "a").join(y, "b").where(similar("ia", "ib")).select("a", "b").distinct())
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -135,9 +144,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
 
     Documents of equal shingle sets are one class, linked at once; only class representatives go on. Classes
     that share a band (4 equal slots of a 128-slot signature, 32 bands; a pair at 0.75 shares none with a
-    chance of about 5e-6) are candidates, confirmed on full sets. In a band first everyone is compared with
-    a centre; then, only where that leaves more than one component in a band, members of different components
-    are compared. Pairs inside one component cannot change the result and are not made. Null or empty text
+    chance of about 5e-6) are candidates, confirmed on full sets. First each document is compared with one
+    band's centre; then, only where that leaves more than one component in a band, with the other centres, and
+    at last members of different components with each other. Pairs inside one component cannot change the result and are not made. Null or empty text
     has no shingles and is its own component, as is a null doc_id; a repeated doc_id joins its own component;
     an empty table gives an empty result.
     """
@@ -146,36 +155,54 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     sketched = cut(
         docs.mapInPandas(
             lambda bs: _sketch(bs, k, m, rows),
-            "doc_id long, n_shingles long, set_id binary, items binary, bands array<long>",
+            "doc_id long, n_shingles long, set_id binary, bands array<long>",
         )
     )
     # one row per distinct set: a group of copies is reduced before its rows meet
     classes = sketched.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    members = sketched.select("doc_id", "n_shingles", "set_id")
     classes = cut(classes)
-    reps = cut(
-        sketched.select(F.col("doc_id").alias("rep"), "set_id", "items", "bands")
-        .join(classes, ["rep", "set_id"], "left_semi").dropDuplicates(["rep", "set_id"]).select("rep", "items", "bands")
+    members = sketched.select("doc_id", "n_shingles", "set_id")
+    reps = (
+        sketched.select(F.col("doc_id").alias("rep"), "set_id", F.col("n_shingles").alias("n"), "bands")
+        .join(classes, ["rep", "set_id"], "left_semi").dropDuplicates(["rep", "set_id"])
     )
-    sets = reps.select("rep", "items")
-    band = reps.select("rep", F.explode("bands").alias("band"))
-    # the centre is the least (hash, rep), another one in each band; min() is combined before the shuffle
-    order = F.struct(F.xxhash64("band", "rep").alias("o"), F.col("rep"))
-    centre = cut(band.groupBy("band").agg(F.min(order).alias("s"), F.count("*").alias("n")).where("n > 1").select("band", F.col("s.rep").alias("b")))
-    band = cut(band.join(centre, "band").select("band", "rep", "b"))
-    star = band.where("rep <> b").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    edges = _linked(cut(star), sets, percent)
+    band = cut(reps.select("rep", "n", F.explode("bands").alias("band")))
+    # the centre is the least (hash, rep); min() is combined before the shuffle
+    centre = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("s"), F.count("*").alias("m")).where("m > 1")
+    band = cut(band.join(cut(centre.select("band", "s")), "band"))
     nodes = classes.select(F.col("rep").alias("v")).distinct()
-    comp = cut(components(edges, nodes))
-    # bands with several components: candidates between these
-    split = band.select("band", "rep").join(comp.withColumnRenamed("v", "rep"), "rep")
-    open_bands = split.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    rest = cut(split.join(open_bands, "band", "left_semi"))
-    x, y = rest.select("band", F.col("rep").alias("a"), F.col("c").alias("ca")), rest.select("band", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    pairs = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _linked(cut(pairs), sets, percent)
-    if not more.isEmpty():
-        comp = cut(components(cut(edges.union(more)), nodes))
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        """Distinct (a, b), a < b, of rows with a, na, b, nb whose sizes allow a link."""
+        turned = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb"]
+        return rows.select(*turned).where(near).select("a", "b").distinct()
+
+    to_centre = [F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s.rep").alias("b"), F.col("s.n").alias("nb")]
+    # first every document with one centre, the least of those that fit its size
+    first = band.where((F.col("rep") != F.col("s.rep")) & (100 * F.least("n", "s.n") >= percent * F.greatest("n", "s.n")))
+    first = cut(pairs_of(first.groupBy("rep", "n").agg(F.min("s").alias("s")).select(*to_centre)))
+    edges = _linked(first, docs, k, percent)
+    comp, tried = cut(components(edges, nodes)), first
+    for whole in (False, True):
+        # then, in bands that still hold several components, with all centres; then all members across components
+        rows = band.join(comp.withColumnRenamed("v", "rep"), "rep")
+        mixed = cut(rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"))
+        rows = cut(rows.join(mixed, "band", "left_semi"))
+        if whole:
+            x = rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+            y = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+            pairs = pairs_of(x.join(y, "band").where("a < b and ca <> cb"))
+        else:
+            own = comp.select(F.col("v").alias("b"), F.col("c").alias("cb"))
+            pairs = pairs_of(rows.select(*to_centre, F.col("c").alias("ca")).join(own, "b").where("ca <> cb"))
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        more = _linked(pairs, docs, k, percent)
+        edges, tried = edges.union(more), tried.union(pairs)
+        if not more.isEmpty():
+            comp = cut(components(edges, nodes))
     by_set = classes.join(comp.withColumnRenamed("v", "rep"), "rep").select("set_id", "c")
     own = members.join(by_set, "set_id", "left")
     return own.select(
