@@ -167,9 +167,13 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
         .join(classes, ["rep", "set_id"], "left_semi").dropDuplicates(["rep", "set_id"])
     )
     band = cut(reps.select("rep", "n", F.explode("bands").alias("band")))
-    # the centre is the least (hash, rep); min() is combined before the shuffle
-    centre = band.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("s"), F.count("*").alias("m")).where("m > 1")
-    band = cut(band.join(cut(centre.select("band", "s")), "band"))
+    shared = band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    band = cut(band.join(cut(shared), "band"))
+    # a document in the most populous bands is the likeliest middle of its group: it is their centre
+    middle = band.groupBy("rep").agg((-F.sum("m")).alias("o"))
+    band = cut(band.select("band", "rep", "n").join(cut(middle), "rep"))
+    centre = band.groupBy("band").agg(F.min(F.struct("o", "rep", "n")).alias("s"))
+    band = cut(band.select("band", "rep", "n").join(cut(centre), "band"))
     nodes = classes.select(F.col("rep").alias("v")).distinct()
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
 
