@@ -95,10 +95,10 @@ def _sketch(batches: Iterator[pd.DataFrame], k: int, m: int, rows: int) -> Itera
                 yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands"])
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) whose full sets are similar enough; sets are made again, only for documents in `pairs`."""
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, items): the sorted shingle hashes of the documents in `ids` (doc_id), made from their whole texts."""
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = Words()
         with np.errstate(over="ignore"):
             for x in batches:
@@ -107,6 +107,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
                     items = [shingles(hashed((t or "").encode("utf-8", "surrogatepass").lower().split()), k).tobytes() for t in part["text"]]
                     yield pd.DataFrame({"rep": part["doc_id"].array, "items": items})
 
+    texts = docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return cut(texts.mapInPandas(run, "rep long, items binary"))
+
+
+def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose full sets, in `found`, are similar enough."""
+
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -116,23 +123,58 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    found = cut(texts.mapInPandas(sets, "rep long, items binary"))
     x = found.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
     y = found.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
     return cut(pairs.join(x, "a").join(y, "b").where(similar("ia", "ib")).select("a", "b").distinct())
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(v, c): the smallest node that each node of `nodes` (v) reaches; labels spread and jump until nothing changes."""
-    both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct())
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def common_counts(found: DataFrame, slots: int = 64) -> DataFrame:
+    """(rep, live, counts): how many of a set's items are in another set of `found` too, in all and by hash slot.
+
+    An intersection has at most sum(min(counts_a, counts_b)) items, as an item in one set only is in none and
+    equal items are in equal slots.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for rep, items in zip(x["rep"], x["items"]):
+                yield pd.DataFrame({"h": np.frombuffer(items, np.int64), "rep": rep})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for rep, items, alone in zip(x["rep"], x["items"], x["alone"]):
+                h = np.frombuffer(items, np.uint64)
+                if alone is not None:
+                    h = np.setdiff1d(h, np.asarray(alone, dtype=np.int64).view(np.uint64), assume_unique=True)
+                out.append((rep, len(h), np.bincount((h % np.uint64(slots)).astype(np.int64), minlength=slots).astype(np.int32)))
+            yield pd.DataFrame(out, columns=["rep", "live", "counts"])
+
+    lone = found.mapInPandas(spread, "h long, rep long").groupBy("h").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+    alone = lone.where("df = 1").groupBy("rep").agg(F.collect_list("h").alias("alone"))
+    return cut(found.join(alone, "rep", "left").mapInPandas(count, "rep long, live long, counts array<int>"))
+
+
+def components(edges: DataFrame, nodes: DataFrame, salts: int = 16) -> DataFrame:
+    """(v, c): the smallest node that each node of `nodes` (v) reaches; labels spread and jump until nothing changes.
+
+    A hub's neighbours, and the members of a large component, are dealt over `salts` tasks.
+    """
+    salt, every = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
+    both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct().select("v", "w", salt))
     labels = cut(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("c")))
     while True:
-        heard = both.join(labels.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("c").alias("d"))
-        near = cut(labels.join(heard, "v").select("v", F.least("c", "d").alias("e"), "c"))
-        jump = near.select(F.col("v").alias("e"), F.col("e").alias("f"))
-        new = cut(near.join(jump, "e").select("v", F.least("e", "f").alias("n"), "c"))
+        told = labels.select(F.col("v").alias("w"), "c", every)
+        heard = both.join(told, ["w", "s"]).groupBy("v").agg(F.min("c").alias("d"))
+        near = cut(labels.join(heard, "v").select("v", F.least("c", "d").alias("e"), "c", salt))
+        # only labels that are themselves relabelled jump
+        jump = near.select("e").distinct().join(near.select(F.col("v").alias("e"), F.col("e").alias("f")), "e").where("e <> f")
+        new = near.join(jump.select("e", "f", every), ["e", "s"], "left")
+        new = cut(new.select("v", F.least("e", F.coalesce("f", "e")).alias("n"), "c"))
         labels = new.select("v", F.col("n").alias("c"))
         if new.where("n <> c").isEmpty():
             break
@@ -146,7 +188,10 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     that share a band (4 equal slots of a 128-slot signature, 32 bands; a pair at 0.75 shares none with a
     chance of about 5e-6) are candidates, confirmed on full sets. First each document is compared with one
     band's centre; then, only where that leaves more than one component in a band, with the other centres, and
-    at last members of different components with each other. Pairs inside one component cannot change the result and are not made. Null or empty text
+    at last members of different components with each other. Pairs inside one component cannot change the result
+    and are not made. Of the last pairs only those are confirmed that an upper bound of their common shingles
+    allows: shingles of one candidate only are in no intersection, and the others are counted by hash slot. A
+    document whose shared shingles cannot reach the similarity with any set is not paired at all. Null or empty text
     has no shingles and is its own component, as is a null doc_id; a repeated doc_id joins its own component;
     an empty table gives an empty result.
     """
@@ -186,7 +231,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     # first every document with one centre, the least of those that fit its size
     first = band.where((F.col("rep") != F.col("s.rep")) & (100 * F.least("n", "s.n") >= percent * F.greatest("n", "s.n")))
     first = cut(pairs_of(first.groupBy("rep", "n").agg(F.min("s").alias("s")).select(*to_centre)))
-    edges = _linked(first, docs, k, percent)
+    edges = _linked(first, _sets(ends(first), docs, k), percent)
     comp, tried = cut(components(edges, nodes)), first
     for whole in (False, True):
         # then, in bands that still hold several components, with all centres; then all members across components
@@ -194,16 +239,21 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
         mixed = cut(rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"))
         rows = cut(rows.join(mixed, "band", "left_semi"))
         if whole:
-            x = rows.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = rows.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = pairs_of(x.join(y, "band").where("a < b and ca <> cb"))
+            found = _sets(rows.select(F.col("rep").alias("doc_id")), docs, k)
+            rows = cut(rows.select("band", "rep", "n", "c").join(common_counts(found), "rep").where(100 * F.col("live") >= percent * F.col("n")))
+            x = rows.select("band", *(F.col(o).alias(t) for o, t in (("rep", "a"), ("n", "na"), ("c", "ca"), ("live", "la"), ("counts", "ka"))))
+            y = rows.select("band", *(F.col(o).alias(t) for o, t in (("rep", "b"), ("n", "nb"), ("c", "cb"), ("live", "lb"), ("counts", "kb"))))
+            reach = percent * (F.col("na") + F.col("nb"))
+            most = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+            allowed = F.when((100 + percent) * F.least("la", "lb") >= reach, (100 + percent) * most >= reach).otherwise(False)
+            pairs = pairs_of(x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & allowed))
         else:
             own = comp.select(F.col("v").alias("b"), F.col("c").alias("cb"))
             pairs = pairs_of(rows.select(*to_centre, F.col("c").alias("ca")).join(own, "b").where("ca <> cb"))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        more = _linked(pairs, docs, k, percent)
+        more = _linked(pairs, found if whole else _sets(ends(pairs), docs, k), percent)
         edges, tried = edges.union(more), tried.union(pairs)
         if not more.isEmpty():
             comp = cut(components(edges, nodes))

@@ -91,6 +91,51 @@ def test_near_dedup(spark, docs):
     assert near_dedup.near_dedup(docs.union(docs)).count() == 2 * len(ROWS)
 
 
+def near_threshold_rows(n=70):
+    """Copies of one text on both sides of the threshold, most linked with few others or none; ids fall and rise."""
+    rng = random.Random(8)
+    base = rng.choices(VOCAB, k=160)
+    out = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randint(1, 9)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        out.append(((i * 37) % 101, " ".join(words)))
+    return out
+
+
+def test_near_dedup_at_the_threshold(spark):
+    rows = near_threshold_rows()
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert 1 < len(set(want.values())) < len(rows)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_common_counts_bound_every_intersection(spark):
+    rng = np.random.default_rng(0)
+    sets = {i: np.unique(rng.integers(0, 400, 120).astype(np.uint64) * near_dedup.GOLD) for i in range(20)}
+    found = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "rep long, items binary")
+    got = {r.rep: r for r in near_dedup.common_counts(found).collect()}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert both <= sum(map(min, got[a].counts, got[b].counts)) <= min(got[a].live, got[b].live)
+
+
+def test_components_of_hubs_and_chains(spark):
+    star = [(0, i) for i in range(1, 200)]
+    chain = [(1000 - i, 1001 - i) for i in range(40)]
+    pairs = spark.createDataFrame([(min(p), max(p)) for p in star + chain], "a long, b long")
+    nodes = spark.createDataFrame([(v,) for v in {v for p in star + chain for v in p} | {5000}], "v long")
+    got = {r.v: r.c for r in near_dedup.components(pairs, nodes).collect()}
+    assert got == {v: 0 if v < 200 else 961 if v < 5000 else 5000 for v in got} and len(got) == 242
+
+
 def test_superminhash_estimates_similarity():
     with np.errstate(over="ignore"):
         x = near_dedup.mix(np.arange(1, 3001, dtype=np.uint64))
