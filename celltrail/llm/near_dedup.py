@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -189,7 +189,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     chance of about 5e-6) are candidates, confirmed on full sets. First each document is compared with one
     band's centre; then, only where that leaves more than one component in a band, with the other centres, and
     at last members of different components with each other. Pairs inside one component cannot change the result
-    and are not made. Of the last pairs only those are confirmed that an upper bound of their common shingles
+    and are not made. After the first step only those are confirmed that an upper bound of their common shingles
     allows: shingles of one candidate only are in no intersection, and the others are counted by hash slot. A
     document whose shared shingles cannot reach the similarity with any set is not paired at all. Null or empty text
     has no shingles and is its own component, as is a null doc_id; a repeated doc_id joins its own component;
@@ -220,43 +220,50 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     centre = band.groupBy("band").agg(F.min(F.struct("o", "rep", "n")).alias("s"))
     band = cut(band.select("band", "rep", "n").join(cut(centre), "band"))
     nodes = classes.select(F.col("rep").alias("v")).distinct()
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        """Distinct (a, b), a < b, of rows with a, na, b, nb whose sizes allow a link."""
-        turned = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb"]
-        return rows.select(*turned).where(near).select("a", "b").distinct()
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows (band, rep, c) of the bands that hold several components."""
+        several = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        return cut(rows.join(cut(several.select("band")), "band", "left_semi"))
+
+    def side(x: DataFrame, n: str) -> DataFrame:
+        return x.select("band", *(F.col(o).alias(t + n) for o, t in (("rep", ""), ("n", "n"), ("c", "c"), ("live", "l"), ("counts", "k"))))
+
+    def pairs_of(x: DataFrame, y: DataFrame, *others: Column) -> DataFrame:
+        """Distinct (a, b), a < b, of rows in a band whose components differ and whose bounds allow a link."""
+        reach = percent * (F.col("na") + F.col("nb"))
+        most = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+        allowed = F.when((100 + percent) * F.least("la", "lb") >= reach, (100 + percent) * most >= reach).otherwise(False)
+        at = (x["band"] == y["band"]) & (F.col("ca") != F.col("cb")) & allowed
+        for other in others:
+            at = at & other
+        return x.join(y, at).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    to_centre = [F.col("rep").alias("a"), F.col("n").alias("na"), F.col("s.rep").alias("b"), F.col("s.n").alias("nb")]
     # first every document with one centre, the least of those that fit its size
     first = band.where((F.col("rep") != F.col("s.rep")) & (100 * F.least("n", "s.n") >= percent * F.greatest("n", "s.n")))
-    first = cut(pairs_of(first.groupBy("rep", "n").agg(F.min("s").alias("s")).select(*to_centre)))
-    edges = _linked(first, _sets(ends(first), docs, k), percent)
-    comp, tried = cut(components(edges, nodes)), first
+    first = first.groupBy("rep", "n").agg(F.min("s").alias("s")).select("rep", F.col("s.rep").alias("m"))
+    first = cut(first.select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct())
+    edges, tried = _linked(first, _sets(ends(first), docs, k), percent), first
+    comp = cut(components(edges, nodes))
+    rows = mixed(band.select("band", "rep", "n", F.col("s.rep").alias("centre")).join(comp.withColumnRenamed("v", "rep"), "rep"))
+    # what cannot reach the similarity with any other candidate leaves, and then bands with one component left
+    found = _sets(rows.select(F.col("rep").alias("doc_id")), docs, k)
+    able = common_counts(found).where(F.col("live") > 0)
+    rows = mixed(rows.join(able, "rep").where(100 * F.col("live") >= percent * F.col("n")))
     for whole in (False, True):
-        # then, in bands that still hold several components, with all centres; then all members across components
-        rows = band.join(comp.withColumnRenamed("v", "rep"), "rep")
-        mixed = cut(rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band"))
-        rows = cut(rows.join(mixed, "band", "left_semi"))
+        # in bands that still hold several components: all with the centre; then all members across components
         if whole:
-            found = _sets(rows.select(F.col("rep").alias("doc_id")), docs, k)
-            rows = cut(rows.select("band", "rep", "n", "c").join(common_counts(found), "rep").where(100 * F.col("live") >= percent * F.col("n")))
-            x = rows.select("band", *(F.col(o).alias(t) for o, t in (("rep", "a"), ("n", "na"), ("c", "ca"), ("live", "la"), ("counts", "ka"))))
-            y = rows.select("band", *(F.col(o).alias(t) for o, t in (("rep", "b"), ("n", "nb"), ("c", "cb"), ("live", "lb"), ("counts", "kb"))))
-            reach = percent * (F.col("na") + F.col("nb"))
-            most = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-            allowed = F.when((100 + percent) * F.least("la", "lb") >= reach, (100 + percent) * most >= reach).otherwise(False)
-            pairs = pairs_of(x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & allowed))
+            pairs = pairs_of(side(rows, "a"), side(rows, "b"), F.col("a") < F.col("b"))
         else:
-            own = comp.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-            pairs = pairs_of(rows.select(*to_centre, F.col("c").alias("ca")).join(own, "b").where("ca <> cb"))
+            pairs = pairs_of(side(rows, "a"), side(rows.where("rep = centre"), "b"))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        more = _linked(pairs, found if whole else _sets(ends(pairs), docs, k), percent)
+        more = _linked(pairs, found, percent)
         edges, tried = edges.union(more), tried.union(pairs)
         if not more.isEmpty():
             comp = cut(components(edges, nodes))
+            rows = rows if whole else mixed(rows.drop("c").join(comp.withColumnRenamed("v", "rep"), "rep"))
     by_set = classes.join(comp.withColumnRenamed("v", "rep"), "rep").select("set_id", "c")
     own = members.join(by_set, "set_id", "left")
     return own.select(
