@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -37,6 +37,19 @@ def chunk_ends(data: bytes, bits: int = 9, window: int = 16) -> list[int]:
     return [*map(int, cuts), len(data)]
 
 
+def runs(things: list, size, most: int) -> Iterator[list]:
+    """All things, in order, in runs whose sizes come to at most `most`, or of one thing."""
+    run, used = [], 0
+    for x in things:
+        if run and used + size(x) > most:
+            yield run
+            run, used = [], 0
+        run.append(x)
+        used += size(x)
+    if run:
+        yield run
+
+
 class ChunkEncoder:
     """Encodes documents as the tokenizer does, from remembered chunks.
 
@@ -46,14 +59,15 @@ class ChunkEncoder:
     pre-tokenizer is at the start of a word at every such boundary, so the ids agree exactly.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 32_000_000):
+        """The memo holds at most `most` bytes of chunks and of their ids, and the chunks of one batch."""
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[bytes, np.ndarray] = {}
-        self.most = most
+        self.memo: dict[bytes, bytes] = {}
+        self.most, self.used = most, 0
 
     def pieces(self, data: bytes) -> list[bytes]:
         out, open_, start = [], b"", 0
@@ -72,19 +86,20 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces((t or "").encode("utf-8")) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in self.memo})
-        if len(self.memo) + len(new) > self.most:
+        if self.used > self.most:
             self.memo.clear()
-            new = list({p for ps in cut for p in ps})
-        for p, e in zip(new, self.tok.encode_batch([p.decode("utf-8") for p in new], add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, dtype=np.uint32)
-        return [np.concatenate([self.memo[p] for p in ps]) if ps else np.zeros(0, np.uint32) for ps in cut]
+            self.used = 0
+        for run in runs(list({p for ps in cut for p in ps if p not in self.memo}), len, 250_000):
+            for p, e in zip(run, self.tok.encode_batch([p.decode("utf-8") for p in run], add_special_tokens=False)):
+                ids = self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+                self.used += len(p) + len(ids) + 150
+        return [np.frombuffer(b"".join([self.memo[p] for p in ps]), "<u4") for ps in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tok.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        return [t for run in runs(ids, len, 100_000) for t in self.tok.decode_batch([x.tolist() for x in run], skip_special_tokens=False)]
 
 
-def groups(b: pd.DataFrame, column: str = "text", most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def groups(b: pd.DataFrame, column: str = "text", most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Rows in runs of at most `most` characters, or one row."""
     size = b[column].str.len().fillna(0)
     for _, part in b.groupby((size.cumsum() // most).astype("int64"), sort=False):
@@ -121,16 +136,22 @@ def bpe_decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded string")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, text) -> doc_id, ids, decoded text: bpe_encode and bpe_decode in one worker, with one tokenizer."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = ChunkEncoder(tokenizer_path(tokenizer))
         for b in batches:
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n_tokens": b["ids"].map(lambda x: len(x) // 4).astype("int64"),
-                "ids_sha256": b["ids"].map(lambda x: hashlib.sha256(x).hexdigest()).astype(object),
-                "decoded_sha256": b["decoded"].map(lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()).astype(object),
-            })
+            for part in groups(b):
+                ids = encode(list(part["text"]))
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": [x.tobytes() for x in ids], "decoded": encode.decode(ids)})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
 
-    return bpe_decode(bpe_encode(docs)).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digest(docs: DataFrame) -> DataFrame:
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return round_trip(docs).select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
