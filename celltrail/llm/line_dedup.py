@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, stored, table
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -35,10 +35,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .select("doc_id", F.unhex(F.sha2("k", 256)).alias("h"))
         .distinct()
     )
-    pairs = cut(pairs)
+    pairs = stored(pairs)
     # counts are summed before the shuffle; both sides of the join below are written tables, so a key that
     # holds many documents is split by the adaptive skew join
-    frequent = cut(pairs.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
+    frequent = stored(pairs.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
     drops = (
         pairs.join(frequent, "h").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("h").alias("drops"))
     )

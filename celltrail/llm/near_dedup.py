@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import cut, table
+from .common import stored, table
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,7 +108,7 @@ def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                     yield pd.DataFrame({"rep": part["doc_id"].array, "items": items})
 
     texts = docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return cut(texts.mapInPandas(run, "rep long, items binary"))
+    return stored(texts.mapInPandas(run, "rep long, items binary"))
 
 
 def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
     x = found.select(F.col("rep").alias("a"), F.col("items").alias("ia"))
     y = found.select(F.col("rep").alias("b"), F.col("items").alias("ib"))
-    return cut(pairs.join(x, "a").join(y, "b").where(similar("ia", "ib")).select("a", "b").distinct())
+    return stored(pairs.join(x, "a").join(y, "b").where(similar("ia", "ib")).select("a", "b").distinct())
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def common_counts(found: DataFrame, slots: int = 64) -> DataFrame:
 
     lone = found.mapInPandas(spread, "h long, rep long").groupBy("h").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
     alone = lone.where("df = 1").groupBy("rep").agg(F.collect_list("h").alias("alone"))
-    return cut(found.join(alone, "rep", "left").mapInPandas(count, "rep long, live long, counts array<int>"))
+    return stored(found.join(alone, "rep", "left").mapInPandas(count, "rep long, live long, counts array<int>"))
 
 
 def components(edges: DataFrame, nodes: DataFrame, salts: int = 16) -> DataFrame:
@@ -165,16 +165,16 @@ def components(edges: DataFrame, nodes: DataFrame, salts: int = 16) -> DataFrame
     A hub's neighbours, and the members of a large component, are dealt over `salts` tasks.
     """
     salt, every = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
-    both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct().select("v", "w", salt))
-    labels = cut(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("c")))
+    both = stored(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct().select("v", "w", salt))
+    labels = stored(both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("c")))
     while True:
         told = labels.select(F.col("v").alias("w"), "c", every)
         heard = both.join(told, ["w", "s"]).groupBy("v").agg(F.min("c").alias("d"))
-        near = cut(labels.join(heard, "v").select("v", F.least("c", "d").alias("e"), "c", salt))
+        near = stored(labels.join(heard, "v").select("v", F.least("c", "d").alias("e"), "c", salt))
         # only labels that are themselves relabelled jump
         jump = near.select("e").distinct().join(near.select(F.col("v").alias("e"), F.col("e").alias("f")), "e").where("e <> f")
         new = near.join(jump.select("e", "f", every), ["e", "s"], "left")
-        new = cut(new.select("v", F.least("e", F.coalesce("f", "e")).alias("n"), "c"))
+        new = stored(new.select("v", F.least("e", F.coalesce("f", "e")).alias("n"), "c"))
         labels = new.select("v", F.col("n").alias("c"))
         if new.where("n <> c").isEmpty():
             break
@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     """
     m = bands * rows
     docs = docs.select("doc_id", "text")
-    sketched = cut(
+    sketched = stored(
         docs.mapInPandas(
             lambda bs: _sketch(bs, k, m, rows),
             "doc_id long, n_shingles long, set_id binary, bands array<long>",
@@ -205,36 +205,36 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     )
     # one row per distinct set: a group of copies is reduced before its rows meet
     classes = sketched.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes)
+    classes = stored(classes)
     members = sketched.select("doc_id", "n_shingles", "set_id")
     reps = (
         sketched.select(F.col("doc_id").alias("rep"), "set_id", F.col("n_shingles").alias("n"), "bands")
         .join(classes, ["rep", "set_id"], "left_semi").dropDuplicates(["rep", "set_id"])
     )
-    band = cut(reps.select("rep", "n", F.explode("bands").alias("band")))
+    band = stored(reps.select("rep", "n", F.explode("bands").alias("band")))
     shared = band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    band = cut(band.join(cut(shared), "band"))
+    band = stored(band.join(stored(shared), "band"))
     # a document in the most populous bands is the likeliest middle of its group: it is their centre
     middle = band.groupBy("rep").agg((-F.sum("m")).alias("o"))
-    band = cut(band.select("band", "rep", "n").join(cut(middle), "rep"))
+    band = stored(band.select("band", "rep", "n").join(stored(middle), "rep"))
     centre = band.groupBy("band").agg(F.min(F.struct("o", "rep", "n")).alias("s"))
-    band = cut(band.select("band", "rep", "n").join(cut(centre), "band"))
+    band = stored(band.select("band", "rep", "n").join(stored(centre), "band"))
     nodes = classes.select(F.col("rep").alias("v")).distinct()
 
     def mixed(rows: DataFrame) -> DataFrame:
         """Rows (band, rep, c) of the bands that hold several components."""
         several = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        return cut(rows.join(cut(several.select("band")), "band", "left_semi"))
+        return stored(rows.join(stored(several.select("band")), "band", "left_semi"))
 
     def side(x: DataFrame, n: str) -> DataFrame:
-        return x.select("band", *(F.col(o).alias(t + n) for o, t in (("rep", ""), ("n", "n"), ("c", "c"), ("live", "l"), ("counts", "k"))))
+        return x.select(*(F.col(o).alias(t + n) for o, t in (("band", "band_"), ("rep", ""), ("n", "n"), ("c", "c"), ("live", "l"), ("counts", "k"))))
 
     def pairs_of(x: DataFrame, y: DataFrame, *others: Column) -> DataFrame:
         """Distinct (a, b), a < b, of rows in a band whose components differ and whose bounds allow a link."""
         reach = percent * (F.col("na") + F.col("nb"))
         most = F.aggregate(F.zip_with("ka", "kb", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
         allowed = F.when((100 + percent) * F.least("la", "lb") >= reach, (100 + percent) * most >= reach).otherwise(False)
-        at = (x["band"] == y["band"]) & (F.col("ca") != F.col("cb")) & allowed
+        at = (F.col("band_a") == F.col("band_b")) & (F.col("ca") != F.col("cb")) & allowed
         for other in others:
             at = at & other
         return x.join(y, at).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -242,9 +242,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     # first every document with one centre, the least of those that fit its size
     first = band.where((F.col("rep") != F.col("s.rep")) & (100 * F.least("n", "s.n") >= percent * F.greatest("n", "s.n")))
     first = first.groupBy("rep", "n").agg(F.min("s").alias("s")).select("rep", F.col("s.rep").alias("m"))
-    first = cut(first.select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct())
+    first = stored(first.select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct())
     edges, tried = _linked(first, _sets(ends(first), docs, k), percent), first
-    comp = cut(components(edges, nodes))
+    comp = stored(components(edges, nodes))
     rows = mixed(band.select("band", "rep", "n", F.col("s.rep").alias("centre")).join(comp.withColumnRenamed("v", "rep"), "rep"))
     # what cannot reach the similarity with any other candidate leaves, and then bands with one component left
     found = _sets(rows.select(F.col("rep").alias("doc_id")), docs, k)
@@ -256,13 +256,13 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
             pairs = pairs_of(side(rows, "a"), side(rows, "b"), F.col("a") < F.col("b"))
         else:
             pairs = pairs_of(side(rows, "a"), side(rows.where("rep = centre"), "b"))
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
         more = _linked(pairs, found, percent)
         edges, tried = edges.union(more), tried.union(pairs)
         if not more.isEmpty():
-            comp = cut(components(edges, nodes))
+            comp = stored(components(edges, nodes))
             rows = rows if whole else mixed(rows.drop("c").join(comp.withColumnRenamed("v", "rep"), "rep"))
     by_set = classes.join(comp.withColumnRenamed("v", "rep"), "rep").select("set_id", "c")
     own = members.join(by_set, "set_id", "left")
