@@ -103,7 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, seed: int = 3)
     """Fits on at most `sample` trusted positives and `sample` unlabelled texts, the least by a seeded hash of doc_id.
 
     The class prior is the share of label 1 among the training labels. Rows whose crc32(doc_id) is divisible by 5
-    are held out of everything. None if there is no training label, or only one kind.
+    are held out of everything. A doc_id gives one text, the least of its rows, however often it is repeated. None if
+    there is no training label, or only one kind.
     """
     kept = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     labels = labels.where(kept & F.col("quality").isNotNull()).select("doc_id", "quality")
@@ -114,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, seed: int = 3)
     pos = labels.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumn("positive", F.lit(True))
     unl = docs.where(kept).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumn("positive", F.lit(False))
     ids = F.broadcast(pos.union(unl))  # at most 2 * sample ids
-    rows = featurise(docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "positive", "text")).orderBy("positive", "doc_id").limit(4 * sample).toPandas()
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    rows = featurise(texts).toPandas().sort_values(["positive", "doc_id"])  # a row an id, so at most 2 * sample
     x, is_pos = np.stack(rows["x"]) if len(rows) else np.zeros((0, 1)), rows["positive"].to_numpy(dtype=bool)
     if not is_pos.any() or is_pos.all():
         return None

@@ -319,3 +319,13 @@ def test_quality(spark):
     assert (held[held["quality"] == 1]["predicted"] == 1).mean() > 0.97
     none = quality.score(empty(spark), quality.train(empty(spark), spark.createDataFrame([], "doc_id long, quality int")))
     assert none.collect() == []
+
+
+def test_quality_trains_on_every_sampled_id_however_often_rows_are_repeated(spark):
+    rows = [(i, " ".join(random.Random(i).choices(VOCAB, k=40)) + (" #$|" * 20 if i % 3 == 0 else "."), i % 3 > 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(q)) for i, _, q in rows], "doc_id long, quality int")
+    want = quality.train(docs, labels, sample=12)
+    for more in (docs.crossJoin(spark.range(9).select()), docs.union(docs.where("doc_id < 40").crossJoin(spark.range(30).select()))):
+        got = quality.train(more, labels, sample=12)
+        assert got is not None and all(np.array_equal(a, b) for a, b in zip(got.parts, want.parts))
