@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .near_dedup import GOLD, Words, mix
 
 #: Fixed value, on A-Z lower-cased UTF-8: bytes of words.
@@ -88,15 +89,31 @@ class Items:
         return len(words), marked, found
 
 
+FOUND = "n_words long, hit_ranges array<struct<lo:long,hi:long>>, item_ids array<long>"
+RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+
+
+def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, block_bytes: int = 32_000_000) -> DataFrame:
     """(doc_id, text), (item_id, text) -> doc_id, n_words, hit_ranges, item_ids.
 
     Fingerprints are winnowed 5-grams over windows of 6, so every shared span of 10 words shares one; hits are
     extended word by word and confirmed on the words. Items shorter than 10 words are one window. The items
     are sent to the executors in blocks of at most block_bytes; with one block documents are read
-    once and nothing is shuffled, with more, each block is a pass and the passes are merged by doc_id.
-    An item's hits never need two blocks. Null or empty texts have no words; repeated rows give repeated
-    results with one block and merged ones with more; an item repeated, or null, adds nothing.
+    once and nothing is shuffled, with more, the rows are written once with a key of their own, each block is a
+    pass over them, and the passes are merged by that key. An item's hits never need two blocks. Null or empty
+    texts have no words; every row gives a row, with the same values for any number of blocks, also where a doc_id
+    is null or repeated; an item repeated, or null, adds nothing.
     """
     benchmark = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
     blocks, block, used = [], [], 0
@@ -106,33 +123,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         block.append((r.item_id, r.text))
         used += len(r.text)
     blocks.append(block)
-    docs = docs.select("doc_id", "text")
+    docs, key = docs.select("doc_id", "text"), "doc_id"
+    if len(blocks) > 1:
+        docs, key = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))), "row"
     passes = []
     for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes, or one item
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 items = Items(shared.value, span, k)
                 for b in batches:
-                    out = []
-                    for doc_id, text in zip(b["doc_id"], b["text"]):
+                    words, ranges, ids = [], [], []
+                    for text in b.column("text").to_pylist():
                         n, marked, found = items.hits(text)
                         edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
-                        out.append((doc_id, n, [(int(x), int(y)) for x, y in edge.reshape(-1, 2)], sorted(found)))
-                    yield pd.DataFrame(out, columns=["doc_id", "n_words", "hit_ranges", "item_ids"])
-
-        passes.append(docs.mapInPandas(scan, "doc_id long, n_words long, hit_ranges array<struct<lo:long,hi:long>>, item_ids array<long>"))
+                        words.append(n)
+                        ranges.append([{"lo": int(x), "hi": int(y)} for x, y in edge.reshape(-1, 2)])
+                        ids.append(sorted(found))
+                    # the key stays as it is: in pandas a null would make it floating
+                    out = [b.column(key), pa.array(words, pa.int64()), pa.array(ranges, RANGES), pa.array(ids, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(out, names=[key, "n_words", "hit_ranges", "item_ids"])
+
+        passes.append(docs.select(key, "text").mapInArrow(scan, f"{key} long, {FOUND}"))
     if len(passes) == 1:
         return passes[0]
     every = passes[0]
     for p in passes[1:]:
-        every = every.union(p)
-    return every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit_ranges"))).alias("hit_ranges"),
-        F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
+        every = every.union(p.where("size(item_ids) > 0"))  # the first pass has every row
+    every = every.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_ranges")).alias("hit_ranges"), F.flatten(F.collect_list("item_ids")).alias("item_ids")
     )
 
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            spans = [joined((r["lo"], r["hi"]) for r in x) for x in b["hit_ranges"]]
+            yield b.assign(hit_ranges=spans, item_ids=[sorted(map(int, x)) for x in b["item_ids"]])
+
+    merged = every.mapInPandas(merge, f"row long, {FOUND}")
+    return docs.select("row", "doc_id").join(merged, "row").drop("row")
+
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns; overlapping ranges, as several passes give them, count once."""

@@ -329,3 +329,17 @@ def test_quality_trains_on_every_sampled_id_however_often_rows_are_repeated(spar
     for more in (docs.crossJoin(spark.range(9).select()), docs.union(docs.where("doc_id < 40").crossJoin(spark.range(30).select()))):
         got = quality.train(more, labels, sample=12)
         assert got is not None and all(np.array_equal(a, b) for a, b in zip(got.parts, want.parts))
+
+
+def test_decontaminate_rows_do_not_depend_on_the_number_of_blocks(spark):
+    w = PASSAGE.split()
+    items = [(1, " ".join(w[:14])), (2, " ".join(w[6:20])), (3, " ".join(w[12:])), (4, " ".join(VOCAB[:30]))]
+    rows = [(1, PASSAGE), (1, PASSAGE), (1, "a b c"), (None, PASSAGE), (None, "a b c"), (None, None), (2, " ".join(VOCAB[:30])), (2, PASSAGE), (2**60 + 1, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block in (32_000_000, 100):
+        found = decontaminate.decontaminate(docs, bench, block_bytes=block)
+        got.append(sorted(((r.doc_id, r.n_words, [tuple(x) for x in r.hit_ranges], r.item_ids) for r in found.collect()), key=str))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    want = sorted(((i, *brute_hits(t, items)) for i, t in rows), key=str)
+    assert sorted(((i, n, sum(y - x for x, y in r), set(f)) for i, n, r, f in got[1]), key=str) == want
