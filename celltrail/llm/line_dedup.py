@@ -16,7 +16,7 @@ SPACE = " \t\n\x0b\x0c\r"
 
 def _keys(text):
     """Hashes of a document's distinct keys that are long enough."""
-    key = lambda line: ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    key = lambda line: ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""))
     return F.array_distinct(F.transform(F.split(text, "\n", -1), key))
 
 

@@ -343,3 +343,10 @@ def test_decontaminate_rows_do_not_depend_on_the_number_of_blocks(spark):
     assert got[0] == got[1] and len(got[0]) == len(rows)
     want = sorted(((i, *brute_hits(t, items)) for i, t in rows), key=str)
     assert sorted(((i, n, sum(y - x for x, y in r), set(f)) for i, n, r, f in got[1]), key=str) == want
+
+
+def test_line_dedup_keys_agree_before_a_final_line_separator(spark):
+    lines = [f"a line in many documents here {end}" for end in ("\u2028", "\u2029", "\u0085", "")]
+    rows = [(i, "\n".join([*lines, f"own {i}"])) for i in range(4)] + [(9, "a line in many documents here\u2028")]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (5, 4, f"own {i}") for i in range(3)} | {3: (5, 0, rows[3][1]), 9: (1, 0, rows[4][1])}
