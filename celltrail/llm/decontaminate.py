@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import stored, table
 from .near_dedup import GOLD, Words, mix
@@ -104,8 +105,8 @@ def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, block_bytes: int = 32_000_000) -> DataFrame:
-    """(doc_id, text), (item_id, text) -> doc_id, n_words, hit_ranges, item_ids.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, block_bytes: int = 32_000_000, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text), (item_id, text) -> doc_id, the columns `carried`, n_words, hit_ranges, item_ids.
 
     Fingerprints are winnowed 5-grams over windows of 6, so every shared span of 10 words shares one; hits are
     extended word by word and confirmed on the words. Items shorter than 10 words are one window. The items
@@ -123,14 +124,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         block.append((r.item_id, r.text))
         used += len(r.text)
     blocks.append(block)
-    docs, key = docs.select("doc_id", "text"), "doc_id"
+    columns = keys = ["doc_id", *carried]
+    docs = docs.select(*dict.fromkeys([*columns, "text"]))
     if len(blocks) > 1:
-        docs, key = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))), "row"
+        docs, keys = stored(docs.withColumn("row", F.monotonically_increasing_id())), ["row"]
+    schema = StructType([*docs.select(*keys).schema, *StructType.fromDDL(FOUND)])
     passes = []
     for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes, or one item
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, keys=keys) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 items = Items(shared.value, span, k)
                 for b in batches:
@@ -141,11 +144,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
                         words.append(n)
                         ranges.append([{"lo": int(x), "hi": int(y)} for x, y in edge.reshape(-1, 2)])
                         ids.append(sorted(found))
-                    # the key stays as it is: in pandas a null would make it floating
-                    out = [b.column(key), pa.array(words, pa.int64()), pa.array(ranges, RANGES), pa.array(ids, pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(out, names=[key, "n_words", "hit_ranges", "item_ids"])
+                    # the keys stay as they are: in pandas a null would make ids floating
+                    out = [*(b.column(c) for c in keys), pa.array(words, pa.int64()), pa.array(ranges, RANGES), pa.array(ids, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(out, names=[*keys, "n_words", "hit_ranges", "item_ids"])
 
-        passes.append(docs.select(key, "text").mapInArrow(scan, f"{key} long, {FOUND}"))
+        passes.append(docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(scan, schema))
     if len(passes) == 1:
         return passes[0]
     every = passes[0]
@@ -160,8 +163,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
             spans = [joined((r["lo"], r["hi"]) for r in x) for x in b["hit_ranges"]]
             yield b.assign(hit_ranges=spans, item_ids=[sorted(map(int, x)) for x in b["item_ids"]])
 
-    merged = every.mapInPandas(merge, f"row long, {FOUND}")
-    return docs.select("row", "doc_id").join(merged, "row").drop("row")
+    merged = every.mapInPandas(merge, schema)
+    return docs.select("row", *columns).join(merged, "row").drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:

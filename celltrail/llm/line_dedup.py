@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import ascii_lower, stored, table
 
@@ -20,15 +21,16 @@ def _keys(text):
     return F.array_distinct(F.transform(F.split(text, "\n", -1), key))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Adds n_lines, n_dropped and kept_text to (doc_id, text).
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) -> doc_id, the columns `carried`, n_lines, n_dropped, kept_text.
 
     Keys of at least min_chars code points that are in at least min_docs distinct doc_ids lose all lines except in
     the largest doc_id. Null or empty text is one empty line and is kept as an empty text; a repeated row
     counts as the same document and is treated like it; rows with a null doc_id keep all lines. An empty
     table gives an empty result. Keys are compared by SHA-256.
     """
-    docs = docs.select("doc_id", "text")
+    columns = ["doc_id", *carried]
+    docs = docs.select(*columns, "text")
     pairs = (
         docs.where("doc_id is not null and text is not null")
         .select("doc_id", F.explode(F.filter(_keys(F.col("text")), lambda k: F.length(k) >= min_chars)).alias("k"))
@@ -43,23 +45,26 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         pairs.join(frequent, "h").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("h").alias("drops"))
     )
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         for b in batches:
-            out = []
-            for text, dropped in zip(b["text"], b["drops"]):
+            n_lines, n_dropped, texts = [], [], []
+            for text, dropped in zip(b.column("text").to_pylist(), b.column("drops").to_pylist()):
                 lines = (text or "").split("\n")
-                gone = set(map(bytes, dropped)) if dropped is not None else ()
+                gone = set(dropped or ())
                 kept = lines if not gone else [
                     x for x in lines
                     if hashlib.sha256(x.strip(SPACE).translate(table_).encode()).digest() not in gone
                 ]
-                out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_text"])], axis=1)
-
-    return docs.join(drops, "doc_id", "left").mapInPandas(
-        rebuild, "doc_id long, n_lines long, n_dropped long, kept_text string"
-    )
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(kept))
+                texts.append("\n".join(kept))
+            out = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *out], names=[*columns, "n_lines", "n_dropped", "kept_text"])
+
+    added = [StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_text", StringType())]
+    schema = StructType([*docs.select(*columns).schema, *added])
+    return docs.join(drops, "doc_id", "left").mapInArrow(rebuild, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

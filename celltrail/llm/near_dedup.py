@@ -75,7 +75,7 @@ def superminhash(items: np.ndarray, m: int = 128, block: int = 4096) -> np.ndarr
     return sig
 
 
-def _sketch(batches: Iterator[pd.DataFrame], k: int, m: int, rows: int) -> Iterator[pd.DataFrame]:
+def _sketch(batches: Iterator[pd.DataFrame], k: int, m: int, rows: int, carried: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     hashed = Words()
     with np.errstate(over="ignore"):
         for b in batches:
@@ -92,7 +92,7 @@ def _sketch(batches: Iterator[pd.DataFrame], k: int, m: int, rows: int) -> Itera
                     for c in range(rows):
                         band = mix(band * GOLD + sig[:, c])
                     out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), band.view(np.int64)))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands"])
+                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands"]).assign(**{c: part[c].array for c in carried})
 
 
 def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -181,8 +181,8 @@ def components(edges: DataFrame, nodes: DataFrame, salts: int = 16) -> DataFrame
     return nodes.join(labels, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
 
 
-def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, and the string columns `carried`.
 
     Documents of equal shingle sets are one class, linked at once; only class representatives go on. Classes
     that share a band (4 equal slots of a 128-slot signature, 32 bands; a pair at 0.75 shares none with a
@@ -196,17 +196,17 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     an empty table gives an empty result.
     """
     m = bands * rows
-    docs = docs.select("doc_id", "text")
+    marked, docs = docs.select("doc_id", "text", *carried), docs.select("doc_id", "text")
     sketched = stored(
-        docs.mapInPandas(
-            lambda bs: _sketch(bs, k, m, rows),
-            "doc_id long, n_shingles long, set_id binary, bands array<long>",
+        marked.mapInPandas(
+            lambda bs: _sketch(bs, k, m, rows, carried),
+            "doc_id long, n_shingles long, set_id binary, bands array<long>" + "".join(f", {c} string" for c in carried),
         )
     )
     # one row per distinct set: a group of copies is reduced before its rows meet
     classes = sketched.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes)
-    members = sketched.select("doc_id", "n_shingles", "set_id")
+    members = sketched.select("doc_id", "n_shingles", "set_id", *carried)
     reps = (
         sketched.select(F.col("doc_id").alias("rep"), "set_id", F.col("n_shingles").alias("n"), "bands")
         .join(classes, ["rep", "set_id"], "left_semi").dropDuplicates(["rep", "set_id"])
@@ -269,6 +269,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     return own.select(
         "doc_id", "n_shingles", F.coalesce("c", "doc_id").cast(LongType()).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(True)).alias("kept"),
+        *carried,
     )
 
 

@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bpe import groups
 from .common import table
@@ -123,16 +125,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, seed: int = 3)
     return fit(x[is_pos], x[~is_pos], float(prior))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, text) -> doc_id, score from 0 to 1; null text is scored like an empty one; without a model all score 1/2."""
+def score(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
+    """(doc_id, text) -> doc_id, the columns `carried`, score from 0 to 1; null text is scored like an empty one; without a model all score 1/2."""
+    columns = ["doc_id", *carried]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in groups(b):
-                s = model.score(np.stack([features(t) for t in part["text"]])) if model else np.full(len(part), 0.5)
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "score": s})
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                s = model.score(np.stack([features(t) for t in part.column("text").to_pylist()])) if model else np.full(part.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(s, pa.float64())], names=[*columns, "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    schema = StructType([*docs.select(*columns).schema, StructField("score", DoubleType())])
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

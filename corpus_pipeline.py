@@ -14,28 +14,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.3 or more; the model learns from this stage's documents and the labels."""
+    """Rows scored 0.3 or more; the model learns from this stage's documents and the labels."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.score(docs, model).where("score >= 0.3").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return quality.score(docs, model, *COLUMNS[1:]).where("score >= 0.3").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with the repeated lines gone; n_chars is counted anew."""
-    kept = line_dedup.line_dedup(docs).select("doc_id", F.col("kept_text").alias("text")).dropDuplicates(["doc_id"])
-    return docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """The same rows with the repeated lines gone; n_chars is counted anew."""
+    kept = line_dedup.line_dedup(docs, carried=("lang", "source"))
+    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows kept by near-dedup, which decides by doc_id and text; a null doc_id is its own component, so it stays."""
+    docs = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
+    named = docs.where("doc_id is not null")
+    kept = near_dedup.near_dedup(named, carried=("text_hash",)).where("kept").select("doc_id", "text_hash").distinct()
+    return named.join(kept, ["doc_id", "text_hash"], "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a hit word."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    kept = found.where("size(item_ids) = 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows without a hit word."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carried=tuple(COLUMNS[1:]))
+    return found.where("size(item_ids) = 0").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,3 +105,19 @@ def test_stages_keep_their_columns_and_bear_empty_and_repeated_rows(spark, tmp_p
         assert stage(spark, docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS, name
         assert stage(spark, docs.where("doc_id < 0"), str(tmp_path)).count() == 0, name
         assert stage(spark, docs.union(docs), str(tmp_path)).select("doc_id").distinct().count() > 0, name
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    docs, items = tables(spark, str(tmp_path), 40)
+    fine = [docs[i] for i in (2, 4, 7)]
+    rows = [(None, fine[0]), (None, fine[1]), (None, items[0]), (1000, fine[2]), (1000, items[0]), (1000, fine[2])]
+    for i in range(3):
+        rows.append((2000 + i, f"start {i}\na line that is in many documents"))
+    rows.append((2000, "another text\na line that is in many documents"))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    run = lambda stage, d=df: sorted(((r.doc_id, r.text) for r in stage(spark, d, str(tmp_path)).collect()), key=str)
+    assert {t for i, t in run(corpus_pipeline.good) if i is None} >= {fine[0], fine[1]}
+    want = [(i, t.split("\n")[0] if i in (2000, 2001) else t) for i, t in rows]
+    assert run(corpus_pipeline.lines) == sorted(want, key=str)
+    assert run(corpus_pipeline.clean) == sorted([x for x in rows if x[1] != items[0]], key=str)
+    assert [x for x in run(corpus_pipeline.distinct) if x[0] is None] == sorted([x for x in rows if x[0] is None], key=str)
