@@ -192,8 +192,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     and are not made. After the first step only those are confirmed that an upper bound of their common shingles
     allows: shingles of one candidate only are in no intersection, and the others are counted by hash slot. A
     document whose shared shingles cannot reach the similarity with any set is not paired at all. Null or empty text
-    has no shingles and is its own component, as is a null doc_id; a repeated doc_id joins its own component;
-    an empty table gives an empty result.
+    has no shingles and is its own component; an empty table gives an empty result. Equal rows get equal results. A
+    doc_id repeated with different texts is not one node: each row has its own text's component, and only where the
+    doc_id is the least of several sets are these linked. A null doc_id is kept, and has the component of its set.
     """
     m = bands * rows
     marked, docs = docs.select("doc_id", "text", *carried), docs.select("doc_id", "text")
