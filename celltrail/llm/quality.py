@@ -7,14 +7,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from .bpe import groups
 from .common import table
+from .spans import small_batches
 
 SLOTS = 128
 WORD = re.compile(r"\S+")
@@ -92,55 +91,82 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, hidden: int = 16, steps:
     return Model(mean, scale, *w)
 
 
-def featurise(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def class_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from scores that the model was not fitted to.
+
+    At any threshold, unlabelled scores over it are at least the prior times the positives' share over it. The estimate
+    is the least ratio of the two shares, where the bound for its error (with probability delta) is taken into account,
+    so no negative label is needed. It is kept within 0.01 and 0.99.
+    """
+    at = np.unique(pos)
+    share = lambda x: 1 - np.searchsorted(np.sort(x), at, side="left") / len(x)
+    p, u = share(pos), share(unl)
+    error = np.sqrt(np.log(4 / delta) / 2 / len(unl)) + np.sqrt(np.log(4 / delta) / 2 / len(pos))
+    best = int(np.argmin((u + error) / p))
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def fit_with_prior(pos: np.ndarray, unl: np.ndarray, rounds: int = 2) -> Model:
+    """Two halves are each scored by a model of the other half, and the prior is estimated from these scores.
+
+    The first models assume 1/2; where they rank well enough for a first estimate, models fitted with that rank better,
+    and as a worse ranking can only raise the estimate, the next round's is nearer. All rows are then fitted with it.
+    """
+    prior = 0.5
+    if min(len(pos), len(unl)) > 1:
+        for _ in range(rounds):
+            scores: list[list[np.ndarray]] = [[], []]
+            for half in (0, 1):
+                model = fit(pos[half::2], unl[half::2], prior, steps=200)
+                for kept, x in zip(scores, (pos, unl)):
+                    kept.append(model.score(x[1 - half :: 2]))
+            prior = class_prior(*map(np.concatenate, scores))
+    return fit(pos, unl, prior)
+
+
+def _featured(docs: DataFrame, columns: list[str], made: StructField, work) -> DataFrame:
+    """The columns, as they are, and work(features) of slices of the texts."""
+    small_batches(docs.sparkSession, 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in groups(b):
-                yield part.drop(columns="text").assign(x=[features(t) for t in part["text"]])
+            x = np.stack([features(t) for t in b.column("text").to_pylist()]) if b.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), work(x)], names=[*columns, made.name])
 
-    return docs.mapInPandas(run, "doc_id long, positive boolean, x array<float>")
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, StructType([*docs.select(*columns).schema, made]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, seed: int = 3) -> Model | None:
     """Fits on at most `sample` trusted positives and `sample` unlabelled texts, the least by a seeded hash of doc_id.
 
-    The class prior is the share of label 1 among the training labels. Rows whose crc32(doc_id) is divisible by 5
-    are held out of everything. A doc_id gives one text, the least of its rows, however often it is repeated. None if
-    there is no training label, or only one kind.
+    Of the labels only the positive ones are used; the class prior is estimated (see class_prior). Rows whose
+    crc32(doc_id) is divisible by 5 are held out of everything, as are null doc_ids. A doc_id gives one text, the least of
+    its rows, however often it is repeated; ties in the hash go to the smaller id. None if there is no positive or
+    no document.
     """
     kept = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
-    labels = labels.where(kept & F.col("quality").isNotNull()).select("doc_id", "quality")
-    prior = labels.agg(F.avg("quality")).first()[0]
-    if prior is None or prior in (0, 1):
-        return None
+    labels = labels.where(kept).select("doc_id", "quality")
     order = F.xxhash64(F.lit(seed), "doc_id")
     pos = labels.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumn("positive", F.lit(True))
     unl = docs.where(kept).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample).withColumn("positive", F.lit(False))
     ids = F.broadcast(pos.union(unl))  # at most 2 * sample ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
-    rows = featurise(texts).toPandas().sort_values(["positive", "doc_id"])  # a row an id, so at most 2 * sample
+    x = _featured(texts, ["doc_id", "positive"], StructField("x", ArrayType(FloatType())), lambda x: pa.array(list(x), pa.list_(pa.float32())))
+    rows = x.toPandas().sort_values(["positive", "doc_id"])  # a row an id, so at most 2 * sample
     x, is_pos = np.stack(rows["x"]) if len(rows) else np.zeros((0, 1)), rows["positive"].to_numpy(dtype=bool)
     if not is_pos.any() or is_pos.all():
         return None
-    return fit(x[is_pos], x[~is_pos], float(prior))
+    return fit_with_prior(x[is_pos], x[~is_pos])
 
 
 def score(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
     """(doc_id, text) -> doc_id, the columns `carried`, score from 0 to 1; null text is scored like an empty one; without a model all score 1/2."""
-    columns = ["doc_id", *carried]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                s = model.score(np.stack([features(t) for t in part.column("text").to_pylist()])) if model else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(s, pa.float64())], names=[*columns, "score"])
-
-    schema = StructType([*docs.select(*columns).schema, StructField("score", DoubleType())])
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
+    half = lambda x: np.full(len(x), 0.5)
+    return _featured(docs, ["doc_id", *carried], StructField("score", DoubleType()), lambda x: pa.array((model.score if model else half)(x), pa.float64()))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored; held_out where crc32(doc_id) is divisible by 5; null doc_ids are not held out by it (null)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
