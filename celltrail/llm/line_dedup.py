@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import ascii_lower, stored, table
 
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def _keys(text):
-    """Hashes of a document's distinct keys that are long enough."""
-    key = lambda line: ascii_lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", ""))
-    return F.array_distinct(F.transform(F.split(text, "\n", -1), key))
+def lines_of(text: str) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -26,48 +19,43 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, carried:
 
     Keys of at least min_chars code points that are in at least min_docs distinct doc_ids lose all lines except in
     the largest doc_id. Null or empty text is one empty line and is kept as an empty text; a repeated row
-    counts as the same document and is treated like it; rows with a null doc_id keep all lines. An empty
-    table gives an empty result. Keys are compared by SHA-256.
+    counts as the same document and is treated like it; rows with a null doc_id keep all lines and are not counted. An
+    empty table gives an empty result; columns not named are left out. Keys are compared by 128 bits of their SHA-256. A
+    row is found again by two hashes of its doc_id and text, so only positions of lines meet it, not the lines.
     """
     columns = ["doc_id", *carried]
-    docs = docs.select(*columns, "text")
-    pairs = (
-        docs.where("doc_id is not null and text is not null")
-        .select("doc_id", F.explode(F.filter(_keys(F.col("text")), lambda k: F.length(k) >= min_chars)).alias("k"))
-        .select("doc_id", F.unhex(F.sha2("k", 256)).alias("h"))
-        .distinct()
+    row = [F.xxhash64("doc_id", "text").alias("ra"), F.xxhash64(F.lit(7), "text", "doc_id").alias("rb")]
+    rows = docs.select(*columns, "text", *row)
+    key = ascii_lower(F.btrim("line", F.lit(SPACE)))
+    places = (
+        rows.where("doc_id is not null and text is not null")
+        .select("doc_id", "ra", "rb", F.posexplode(lines_of("text")).alias("pos", "line"))
+        .where(F.octet_length("line") >= min_chars).select("doc_id", "ra", "rb", "pos", key.alias("k"))
+        .where(F.length("k") >= min_chars).select("doc_id", "ra", "rb", "pos", F.unhex(F.substring(F.sha2("k", 256), 1, 32)).alias("h"))
     )
-    pairs = stored(pairs)
-    # counts are summed before the shuffle; both sides of the join below are written tables, so a key that
+    places = stored(places)
+    # distinct and counts are reduced before each shuffle; both sides of the next join are written tables, so a key that
     # holds many documents is split by the adaptive skew join
-    frequent = stored(pairs.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs))
-    drops = (
-        pairs.join(frequent, "h").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("h").alias("drops"))
+    frequent = places.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    frequent = stored(frequent.where(F.col("n") >= min_docs).select("h", "keeper"))
+    # the positions to drop, as bits of 64 lines each
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos").bitwiseAND(F.lit(63)))
+    words = (
+        places.join(frequent, "h").where("doc_id <> keeper").groupBy("ra", "rb", F.shiftright("pos", 6).alias("w")).agg(F.bit_or(bit).alias("bits"))
+        .groupBy("ra", "rb").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("last"), F.sum(F.bit_count("bits")).alias("n_dropped"))
+    )
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
+    drops = words.select("ra", "rb", "n_dropped", dense.alias("drops"))
+    stays = lambda line, i: F.getbit(F.coalesce(F.get("drops", F.shiftright(i, 6)), F.lit(0).cast("long")), i.bitwiseAND(F.lit(63))) == 0
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")
+    return rows.join(drops, ["ra", "rb"], "left").select(
+        *columns, F.size(lines_of("text")).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),
     )
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        for b in batches:
-            n_lines, n_dropped, texts = [], [], []
-            for text, dropped in zip(b.column("text").to_pylist(), b.column("drops").to_pylist()):
-                lines = (text or "").split("\n")
-                gone = set(dropped or ())
-                kept = lines if not gone else [
-                    x for x in lines
-                    if hashlib.sha256(x.strip(SPACE).translate(table_).encode()).digest() not in gone
-                ]
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(kept))
-                texts.append("\n".join(kept))
-            out = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *out], names=[*columns, "n_lines", "n_dropped", "kept_text"])
-
-    added = [StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_text", StringType())]
-    schema = StructType([*docs.select(*columns).schema, *added])
-    return docs.join(drops, "doc_id", "left").mapInArrow(rebuild, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents; see line_dedup for nulls, empty texts, repeated rows and ties."""
     out = line_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
