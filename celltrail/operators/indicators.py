@@ -25,7 +25,7 @@ def counts(it: DataFrame) -> DataFrame:
     return cells(it).groupBy(*KEY).agg(
         F.count("*").alias("number_of_interactions"), F.count_if(F.col("direction") == "in").alias("number_of_interactions_in"),
         out.alias("number_of_interactions_out"), F.count_distinct("contact_id").alias("number_of_contacts"),
-        F.round(out / F.count("*"), 6).alias("percent_initiated"), F.round(F.avg(night.cast("int")), 6).alias("percent_nocturnal"),
+        F.when(F.col("event_type") == "call", F.round(out / F.count("*"), 6)).alias("percent_initiated"), F.round(F.avg(night.cast("int")), 6).alias("percent_nocturnal"),
     )
 
 
@@ -68,9 +68,10 @@ def call_duration(it: DataFrame) -> DataFrame:
 
 
 def text_response(it: DataFrame, within: float = 3600) -> DataFrame:
-    """Delay from an incoming text to the next outgoing one to that contact, if it is in time."""
-    w = Window.partitionBy(*CELL, "contact_id").orderBy("timestamp", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    reply = F.first(F.when(F.col("direction") == "out", seconds("timestamp")), ignorenulls=True).over(w)
+    """Delay from an incoming text to the next outgoing one to that contact, if it is in time; of one event's two views the outgoing is first."""
+    # backwards, so that the frame only grows
+    w = Window.partitionBy(*CELL, "contact_id").orderBy(F.desc("timestamp"), F.desc("event_id"), "direction").rowsBetween(Window.unboundedPreceding, -1)
+    reply = F.last(F.when(F.col("direction") == "out", seconds("timestamp")), ignorenulls=True).over(w)
     delay = reply - seconds("timestamp")
     rows = cells(it.where("event_type = 'text'")).withColumn("delay", delay).where("direction = 'in'")
     rows = rows.withColumn("delay", F.when(F.col("delay") <= within, F.col("delay")))
@@ -79,7 +80,7 @@ def text_response(it: DataFrame, within: float = 3600) -> DataFrame:
 
 def conversations(it: DataFrame, gap: float = 3600) -> DataFrame:
     """Share of sessions, split where a contact is silent for over `gap` seconds, that the agent begins."""
-    w = Window.partitionBy(*CELL, "contact_id").orderBy("timestamp", "event_id", "direction")
+    w = Window.partitionBy(*CELL, "contact_id").orderBy("timestamp", "event_id", F.desc("direction"))
     rows = cells(it).withColumn("before", F.lag(seconds("timestamp")).over(w))
     first = rows.where(F.col("before").isNull() | (seconds("timestamp") - F.col("before") > gap))
     return first.groupBy(*CELL).agg(F.round(F.avg((F.col("direction") == "out").cast("int")), 6).alias("percent_initiated_conversations"))
@@ -138,3 +139,8 @@ def frequent_antennas(located: DataFrame) -> DataFrame:
 
 def radius_of_gyration(located: DataFrame) -> DataFrame:
     return cells(located).groupBy(*CELL).agg(F.round(111000 * F.sqrt(F.var_pop("lat") + F.var_pop("lon")), 3).alias("radius_of_gyration"))
+
+
+def percent_at_home(located: DataFrame, homes: DataFrame) -> DataFrame:
+    rows = cells(located.join(homes, "agent_id"))
+    return rows.groupBy(*CELL).agg(F.round(F.avg((F.col("antenna_id") == F.col("home_antenna_id")).cast("int")), 6).alias("percent_at_home"))

@@ -2,56 +2,64 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, seconds
+from ..functions.geo import RADIUS_M, haversine_m, seconds
+from ..functions.ordered import scan_sorted
 from ..functions.stats import entropy
+from .trajectory import nearest_antenna
 
 
 def places(stays: DataFrame, radius: float = 250) -> DataFrame:
-    """Adds place_id: the first place within radius of its running mean, else a new one."""
-    members = stays.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("stay_index", "lat", "lon"))).alias("s"))
-
-    def step(acc, x):
-        at = acc["places"]
-        near = lambda p: haversine_m(x["lat"], x["lon"], p["lat"] / p["n"], p["lon"] / p["n"]) <= radius
-        hit = F.array_position(F.transform(at, near), True)
-        grown = F.transform(at, lambda p, i: F.struct(
-            F.when(i + 1 == hit, p["lat"] + x["lat"]).otherwise(p["lat"]).alias("lat"),
-            F.when(i + 1 == hit, p["lon"] + x["lon"]).otherwise(p["lon"]).alias("lon"),
-            F.when(i + 1 == hit, p["n"] + 1).otherwise(p["n"]).alias("n"),
-        ))
-        new = F.array(F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"), F.lit(1).alias("n")))
-        place = F.when(hit > 0, hit - 1).otherwise(F.size(at).cast("long"))
-        return F.struct(
-            F.when(hit > 0, grown).otherwise(F.concat(at, new)).alias("places"),
-            F.concat(acc["out"], F.array(F.struct(x["stay_index"].alias("stay_index"), place.alias("place_id")))).alias("out"),
-        )
-
-    zero = F.expr("named_struct('places', cast(array() as array<struct<lat:double,lon:double,n:int>>), 'out', cast(array() as array<struct<stay_index:bigint,place_id:bigint>>))")
-    ids = members.select("agent_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o")).select("agent_id", "o.*")
+    """Adds place_id: the first place within radius of its running mean, else a new one. Stays without a position are left out."""
+
+    def near(lat: float, lon: float, place: list) -> bool:
+        p1, p2 = math.radians(lat), math.radians(place[0] / place[2])
+        a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(place[1] / place[2] - lon) / 2) ** 2
+        return 2 * RADIUS_M * math.atan2(math.sqrt(a), math.sqrt(1 - a)) <= radius
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        agent, known = None, []
+        for who, index, lat, lon in rows:
+            if who != agent:
+                agent, known = who, []
+            hit = next((i for i, p in enumerate(known) if near(lat, lon, p)), len(known))
+            if hit == len(known):
+                known.append([0.0, 0.0, 0])
+            known[hit] = [known[hit][0] + lat, known[hit][1] + lon, known[hit][2] + 1]
+            yield who, index, hit
+
+    rows = stays.where("lat is not null and lon is not null").select("agent_id", "stay_index", F.col("lat").cast("double"), F.col("lon").cast("double"))
+    ids = scan_sorted(rows, "agent_id", ["stay_index"], fold, "agent_id long, stay_index long, place_id long")
     return stays.join(ids, ["agent_id", "stay_index"])
 
 
+def weeks_of(sim_days: float) -> float:
+    return max(sim_days / 7.0, 1.0)
+
+
 def minutes():
     return F.greatest((seconds("departure_time") - seconds("arrival_time")) / 60, F.lit(1.0))
 
 
-def place_stats(placed: DataFrame, weeks: float = 2.0) -> DataFrame:
+def place_stats(placed: DataFrame, sim_days: float = 14) -> DataFrame:
     weekday, h = F.weekday("arrival_time") < 5, F.hour("arrival_time")
     home = weekday & ((h >= 20) | (h < 7))
     return placed.groupBy("agent_id", "place_id").agg(
         F.round(F.sum(F.when(home, minutes()).otherwise(0.0)), 6).alias("home_minutes"),
         F.round(F.sum(F.when(weekday & ~home, minutes()).otherwise(0.0)), 6).alias("work_minutes"),
-        (F.count_if(weekday) / F.lit(float(weeks))).alias("visits_per_week"),
+        (F.count_if(weekday) / F.lit(weeks_of(sim_days))).alias("visits_per_week"),
     )
 
 
-def label_places(placed: DataFrame, weeks: float = 2.0) -> DataFrame:
+def label_places(placed: DataFrame, sim_days: float = 14) -> DataFrame:
     """Adds place_label. Home has the most home minutes; work the most among the rest, if visited weekly, with no runner-up."""
     by = Window.partitionBy("agent_id")
-    stats = place_stats(placed, weeks)
+    stats = place_stats(placed, sim_days)
     home = (F.row_number().over(by.orderBy(F.desc("home_minutes"), "place_id")) == 1) & (F.col("home_minutes") > 0)
     stats = stats.withColumn("is_home", home)
     can_work = ~F.col("is_home") & (F.col("work_minutes") > 0)
@@ -66,7 +74,11 @@ def anchors(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("agent_id").agg(*out, F.bool_or(F.col("place_label") == "work").alias("has_inferred_work"))
 
 
-def anchor_features(labelled: DataFrame) -> DataFrame:
+ANCHOR_FEATURES = ["commute_distance_m", "has_inferred_work", "number_of_places", "entropy_of_places", "total_stay_duration_min", "mean_stay_duration_min", "percent_dwell_at_home", "percent_dwell_at_work"]
+
+
+def anchor_features(labelled: DataFrame, population: DataFrame) -> DataFrame:
+    """One row per subscriber; without stays all are 0."""
     a = anchors(labelled)
     commute = haversine_m(*[F.col(f"inferred_{k}_{c}") for k in ("home", "work") for c in ("lat", "lon")])
     dwell = labelled.withColumn("m", minutes())
@@ -76,10 +88,23 @@ def anchor_features(labelled: DataFrame) -> DataFrame:
         F.round(F.avg("m"), 4).alias("mean_stay_duration_min"), share("home").alias("percent_dwell_at_home"), share("work").alias("percent_dwell_at_work"),
     )
     ent = entropy(dwell.groupBy("agent_id", "place_id").agg(F.sum("m").alias("m")), ["agent_id"], "m", "entropy_of_places")
-    return a.select(
+    known = a.select(
         "agent_id", F.round(F.coalesce(F.when(F.col("has_inferred_work"), commute), F.lit(0.0)), 2).alias("commute_distance_m"),
         F.col("has_inferred_work").cast("int").alias("has_inferred_work"),
     ).join(totals, "agent_id").join(ent, "agent_id")
+    return population.select("agent_id").join(known, "agent_id", "left").fillna(0).select("agent_id", *ANCHOR_FEATURES)
+
+
+def home_antennas(population: DataFrame, anchor_rows: DataFrame, pings: DataFrame, antennas: DataFrame) -> DataFrame:
+    """agent_id, home_antenna_id: the antenna nearest to the inferred home, else to the mean of night pings, of all pings, of the antennas."""
+    night = (F.hour("timestamp") < 7) | (F.hour("timestamp") >= 20)
+    mean = lambda c, x: F.avg(F.when(x, F.col(c)))
+    at = pings.groupBy("agent_id").agg(*(mean(c, x).alias(f"{k}_{c}") for k, x in (("night", night), ("any", F.lit(True))) for c in ("lat", "lon")))
+    middle = antennas.agg(F.avg("lat").alias("mid_lat"), F.avg("lon").alias("mid_lon"))  # one row
+    rows = population.select("agent_id").join(anchor_rows.select("agent_id", "inferred_home_lat", "inferred_home_lon"), "agent_id", "left").join(at, "agent_id", "left").crossJoin(F.broadcast(middle))
+    pick = lambda c: F.coalesce(f"inferred_home_{c}", f"night_{c}", f"any_{c}", f"mid_{c}").alias(c)
+    near = nearest_antenna(rows.select("agent_id", pick("lat"), pick("lon")), antennas)
+    return near.select("agent_id", F.col("antenna_id").alias("home_antenna_id"))
 
 
 def daily_motifs(labelled: DataFrame) -> DataFrame:

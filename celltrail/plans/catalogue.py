@@ -15,9 +15,8 @@ _edges = lambda s, d: graph.social_edges(src.communications(s, d), src.populatio
 
 
 def _located(s, d):
-    p = trajectory.nearest_antenna(src.pings(s, d), src.antennas(s, d)).select("agent_id", "timestamp", "antenna_id")
     a = src.antennas(s, d)
-    return p.join(a, "antenna_id")
+    return trajectory.nearest_antenna(src.pings(s, d), a).select("agent_id", "timestamp", "antenna_id").join(a, "antenna_id")
 
 
 def _rounded(df, digits=6, *cols):
@@ -75,7 +74,7 @@ QUERIES = {
     "place_stats": lambda s, d: places.place_stats(places.places(_stays(s, d))),
     "place_labels": lambda s, d: _labelled(s, d).select("agent_id", "stay_index", "place_id", "place_label"),
     "anchors": lambda s, d: places.anchors(_labelled(s, d)),
-    "anchor_features": lambda s, d: places.anchor_features(_labelled(s, d)),
+    "anchor_features": lambda s, d: places.anchor_features(_labelled(s, d), src.population(s, d)),
     "daily_motifs": lambda s, d: places.daily_motifs(_labelled(s, d)),
     "motif_features": lambda s, d: places.motif_features(_labelled(s, d), src.population(s, d)),
     "social_edges": _edges,
@@ -167,8 +166,8 @@ _NB = _ED + ", nb as (select src a, dst b from ed where src <> dst union select
 SQL = {
     "interaction_table": _with("", "select * from it"),
     "interaction_counts": _with(_IC, f"""select {_K}, count(*) number_of_interactions, count(*) filter (direction = 'in') number_of_interactions_in, count(*) filter (direction = 'out') number_of_interactions_out,
-      count(distinct contact_id) number_of_contacts, round(cast(count(*) filter (direction = 'out') as double) / count(*), 6) percent_initiated,
-      round(avg(case when hour(timestamp) < 7 or hour(timestamp) >= 19 then 1 else 0 end), 6) percent_nocturnal from ic group by all"""),
+      count(distinct contact_id) number_of_contacts, case when event_type = 'call' then round(cast(count(*) filter (direction = 'out') as double) / count(*), 6) end percent_initiated,
+      round(avg(case when hour(timestamp) < 7 or hour(timestamp) >= 19 then 1 else 0 end), 6) percent_nocturnal from ic group by {_K}"""),
     "contact_entropy": _with(_PC, _entropy("pc", _K, "n", "entropy_of_contacts")),
     "interactions_per_contact": _with(_PC, _summary("pc", _K, "n", "interactions_per_contact")),
     "contact_balance": _with(_PC, _summary("pc", _K, "balance", "balance_of_contacts")),

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from celltrail.plans import catalogue
+from celltrail.plans import registry as catalogue
 
 SF = "/root/testdata/sf0.01"
 
