@@ -36,3 +36,9 @@ def f1_report(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
 def brier(rows: DataFrame, probabilities: str, label_index: str) -> DataFrame:
     hot = F.aggregate(F.transform(probabilities, lambda p, i: F.pow(p - (i == F.col(label_index)).cast("double"), 2)), F.lit(0.0), lambda a, x: a + x)
     return rows.agg(F.round(F.avg(hot), 6).alias("brier"))
+
+
+def f1_scores(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
+    """macro_f1, over the classes of the truth or the guesses, and weighted_f1, by their support, of f1_report()."""
+    r = f1_report(pairs, truth, guess)
+    return r.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"))

@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import catalogue, graphs, more, tables
+from . import catalogue, graphs, learn, more, tables
 
-QUERIES = catalogue.QUERIES | more.QUERIES | tables.QUERIES | graphs.QUERIES
-SQL = catalogue.SQL | more.SQL | tables.SQL | graphs.SQL
+QUERIES = catalogue.QUERIES | more.QUERIES | tables.QUERIES | graphs.QUERIES | learn.QUERIES
+SQL = catalogue.SQL | more.SQL | tables.SQL | graphs.SQL | learn.SQL

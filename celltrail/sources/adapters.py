@@ -74,3 +74,16 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().selectExpr(
         "user_id agent_id", "concat('SUB', lpad(cast(user_id as string), 6, '0')) phone_number"
     )
+
+
+def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscribers with the seven labels, read off the customer table."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey agent_id", "elt(cast(c_nationkey % 5 as int) + 1, '18-24', '25-34', '35-44', '45-59', '60+') age_group", "case when c_custkey % 2 = 0 then 'male' else 'female' end gender",
+        "elt(cast(c_nationkey % 4 as int) + 1, 'primary', 'secondary', 'graduate', 'postgraduate') education_level",
+        "elt(cast(c_custkey % 6 as int) + 1, 'informal_labor', 'retail_service', 'clerical', 'professional', 'unemployed', 'student') occupation_category",
+        "elt(cast(c_custkey % 4 as int) + 1, 'employed', 'unemployed', 'student', 'retired') work_status",
+        "case when c_acctbal < 2000 then 'low' when c_acctbal < 5000 then 'lower_mid' when c_acctbal < 8000 then 'upper_mid' else 'high' end income_bracket",
+        "elt(cast(length(c_mktsegment) % 5 as int) + 1, 'E', 'D', 'C', 'B', 'A') socio_demographic_class",
+    )
+    return population(spark, sf_dir).join(c, "agent_id", "left")
