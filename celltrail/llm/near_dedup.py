@@ -6,41 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from .common import stored, table
+from .filters import bloom
+from .spans import GOLD, LOWER, hashes, mix, slices, small_batches, spaced, texts, words
 
-GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Words:
-    """64-bit hashes of words, with a bounded memo."""
-
-    def __init__(self, most: int = 500_000):
-        self.memo: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        out = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+#: Fixed value: words are runs of [^\x20\x09-\x0D]+.
+NO_SPACE = np.ones(256, bool)
+NO_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
@@ -75,40 +55,60 @@ def superminhash(items: np.ndarray, m: int = 128, block: int = 4096) -> np.ndarr
     return sig
 
 
-def _sketch(batches: Iterator[pd.DataFrame], k: int, m: int, rows: int, carried: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
-    hashed = Words()
+def _words_of(b: pa.RecordBatch, rows: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, word hashes, first): some rows of a batch at a time; row from + i has the words first[i] : first[i + 1]."""
+    offsets, data = texts(b.column("text"))
+    for lo, hi in slices(offsets):
+        if rows is not None and not rows[lo:hi].any():
+            continue
+        at, buf = spaced(offsets[lo : hi + 1], data)
+        buf = LOWER.take(buf)
+        starts, ends, first = words(buf, at, NO_SPACE)
+        yield lo, hi, hashes(buf, starts, ends - starts), first
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                out = []
-                for doc_id, text in zip(part["doc_id"], part["text"]):
-                    s = shingles(hashed((text or "").encode("utf-8", "surrogatepass").lower().split()), k)
+            for lo, hi, h, first in _words_of(b):
+                n, sets, bands = [], [], []
+                for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                    s = shingles(h[x:y], k)
+                    n.append(len(s))
                     if not len(s):
-                        out.append((doc_id, 0, None, None))
+                        sets.append(None)
+                        bands.append(None)
                         continue
                     sig = superminhash(s, m).reshape(-1, rows)
                     band = np.arange(len(sig), dtype=np.uint64)
                     for c in range(rows):
                         band = mix(band * GOLD + sig[:, c])
-                    out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), band.view(np.int64)))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_id", "bands"]).assign(**{c: part[c].array for c in carried})
+                    sets.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    bands.append(band.view(np.int64))
+                made = [pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in columns), *made], names=[*columns, "n_shingles", "set_id", "bands"])
 
 
 def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(rep, items): the sorted shingle hashes of the documents in `ids` (doc_id), made from their whole texts."""
+    """(rep, items): the sorted shingle hashes of the documents in `ids` (doc_id), made from their whole texts.
+
+    A Bloom filter of the ids, 8 MB at most, picks the texts, so they are not shuffled; the few others that it
+    lets through have no pair to be joined with. A text repeated under one doc_id gives one set.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(bloom(ids.distinct().select(F.xxhash64("doc_id").alias("key")), "key"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = Words()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for x in batches:
-                for at in range(0, len(x), 256):
-                    part = x.iloc[at : at + 256]
-                    items = [shingles(hashed((t or "").encode("utf-8", "surrogatepass").lower().split()), k).tobytes() for t in part["text"]]
-                    yield pd.DataFrame({"rep": part["doc_id"].array, "items": items})
+            for b in batches:
+                mine = known.value.has(b.column("key").to_numpy())
+                for lo, hi, h, first in _words_of(b, mine):
+                    at = lo + np.flatnonzero(mine[lo:hi])
+                    items = [shingles(h[first[i - lo] : first[i - lo + 1]], k).tobytes() for i in at.tolist()]
+                    sids = [xxhash.xxh3_128_digest(x) for x in items]
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(sids, pa.binary()), pa.array(items, pa.binary())], names=["rep", "sid", "items"])
 
-    texts = docs.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stored(texts.mapInPandas(run, "rep long, items binary"))
+    found = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "rep long, sid binary, items binary")
+    return stored(found.dropDuplicates(["rep", "sid"]).drop("sid"))
 
 
 def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -197,13 +197,11 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
     doc_id is the least of several sets are these linked. A null doc_id is kept, and has the component of its set.
     """
     m = bands * rows
-    marked, docs = docs.select("doc_id", "text", *carried), docs.select("doc_id", "text")
-    sketched = stored(
-        marked.mapInPandas(
-            lambda bs: _sketch(bs, k, m, rows, carried),
-            "doc_id long, n_shingles long, set_id binary, bands array<long>" + "".join(f", {c} string" for c in carried),
-        )
-    )
+    small_batches(docs.sparkSession, 1000)
+    columns = ["doc_id", *carried]
+    marked, docs = docs.select(*dict.fromkeys([*columns, "text"])), docs.select("doc_id", "text")
+    made = StructType.fromDDL("n_shingles long, set_id binary, bands array<long>")
+    sketched = stored(marked.mapInArrow(lambda bs: _sketch(bs, k, m, rows, columns), StructType([*marked.select(*columns).schema, *made])))
     # one row per distinct set: a group of copies is reduced before its rows meet
     classes = sketched.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes)
@@ -276,3 +274,14 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 75, bands: int = 32,
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+SQL = f"""
+with recursive w as (select doc_id, {_WORDS} as w from documents),
+g as materialized (select distinct doc_id, hash(array_to_string(list_slice(w, p, p + 4), ' ')) as h from (select doc_id, w, unnest(range(1, cast(greatest(len(w) - 4, 1) as bigint) + 1)) as p from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from g group by doc_id),
+e as materialized (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.h = y.h and x.doc_id <> y.doc_id group by 1, 2) join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)),
+r(v, c) as (select doc_id, doc_id from n union select r.v, e.b from r join e on e.a = r.c),
+m as (select v, min(c) as c from r group by v)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(c, doc_id) as component_id, doc_id = coalesce(c, doc_id) as kept from w left join n using (doc_id) left join m on m.v = doc_id"""
