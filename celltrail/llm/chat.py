@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -66,6 +67,15 @@ def path(roles: list, start: int, end: np.ndarray) -> tuple[list[int], int]:
     return states[::-1], int(total.min())
 
 
+def escaped(text: str) -> str:
+    """The text with one backslash more between each < and the | behind it, so that it holds no marker; unescaped() takes it off."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}"
 
@@ -74,6 +84,7 @@ def repair(turns: list[tuple[str | None, str]], states: list[int], start: int, l
     """role, action and rendered piece of each turn; a conversation's pieces in order are its rendered form."""
     out, s = [], start
     for i, ((role, text), t) in enumerate(zip(turns, states)):
+        text = escaped(text)
         _, put, action = TABLES[known(role)][s, t]
         piece = ""
         if action == "merge":
@@ -101,7 +112,7 @@ def chat_format(turns: DataFrame) -> DataFrame:
     free, merging it into the one before costs 2, relabelling 3 and inserting an empty turn 4. Turns are in
     the order of (turn, role, hash of text), nulls first; null text is empty, a null or unknown role is always relabelled,
     null conv_ids are one conversation, repeated rows are turns of their own, an empty table gives an empty
-    result. Rows are dealt by ranges, so a conversation of any length is spread over tasks: each range gives
+    result. Markers inside a text are escaped, so a text cannot forge a turn. Rows are dealt by ranges, so a conversation of any length is spread over tasks: each range gives
     the (min, +) product of its first and last conversation's costs, the driver (two small matrices per
     range) fixes the states at the borders, and each range finds the path between these.
     """

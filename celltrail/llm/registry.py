@@ -10,4 +10,6 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup, "op8_url_filter": url_filter.op8_url_filter, "op9_chat_format": chat.op9_chat_format,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
-SQL = {"op1_topk": topk.SQL, "op7_line_dedup": line_dedup.SQL}
+SQL = {
+    "op1_topk": topk.SQL, "op3_sharding": sharding.SQL, "op4_decontaminate": decontaminate.SQL, "op7_line_dedup": line_dedup.SQL, "op8_url_filter": url_filter.SQL, "op10_near_dedup": near_dedup.SQL,
+}

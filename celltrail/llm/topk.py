@@ -62,7 +62,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, pivots: int = 32, p
     """
     vectors, queries = vectors.where("v is not null and vec_id is not null and size(v) > 0"), queries.where("v is not null and vec_id is not null and size(v) > 0")
     nc, nq = max(1, -(-vectors.count() // per_block)), max(1, -(-queries.count() // per_block))
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(n)).cast("int")
+    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(n)).cast("int")
     dim = F.size("v").alias("dim")
     c = vectors.select("vec_id", "v", dim, deal(nc, 1).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     q = queries.select("vec_id", "v", dim, deal(nq, 2).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
