@@ -122,7 +122,7 @@ def neighbour_table(neighbours: DataFrame, population: DataFrame, features: Data
     out = []
     for c in columns:
         name = f"{prefix}__neighbor_{c.split('__')[0]}"
-        out += [F.round(F.avg(c), 4).alias(f"{name}_mean"), F.round(F.stddev_pop(c), 4).alias(f"{name}_std")]
+        out += [F.round(F.avg(c) + 1e-9, 6).alias(f"{name}_mean"), F.round(F.stddev_pop(c) + 1e-9, 6).alias(f"{name}_std")]
     s = neighbours.join(f, "w").groupBy(F.col("v").alias("agent_id")).agg(*out)
     return population.select("agent_id").join(s, "agent_id", "left").fillna(0)
 

@@ -18,8 +18,12 @@ def runs(pings: DataFrame, delta: float = 200) -> DataFrame:
 
 
 def candidate_stays(pings: DataFrame, delta: float = 200, tau: float = 1200) -> DataFrame:
+    return _candidates(runs(pings, delta), tau)
+
+
+def _candidates(run: DataFrame, tau: float) -> DataFrame:
     span = seconds("departure_time") - seconds("arrival_time")
-    return runs(pings, delta).groupBy("agent_id", "run_id").agg(
+    return run.groupBy("agent_id", "run_id").agg(
         F.min("timestamp").alias("arrival_time"), F.max("timestamp").alias("departure_time"), F.avg("lat").alias("lat"),
         F.avg("lon").alias("lon"), F.count("*").alias("n_points"),
     ).where(span > tau)
@@ -41,7 +45,7 @@ def stay_clusters(candidates: DataFrame, grid: float = 200) -> DataFrame:
 def stay_points(pings: DataFrame, delta: float = 200, tau: float = 1200, grid: float = 200) -> DataFrame:
     """Merged stays, extended by each left-over ping whose nearest stay is nearer than delta."""
     run = runs(pings, delta)
-    candidates = candidate_stays(pings, delta, tau)
+    candidates = _candidates(run, tau)
     stays = stay_clusters(candidates, grid)
     left = run.join(candidates.select("agent_id", "run_id"), ["agent_id", "run_id"], "left_anti")
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from ..operators import graph, wide
+from pyspark.sql import functions as F
+
+from ..operators import graph, indicators, places
 from ..sources import adapters as src
 from . import catalogue as c
 from . import more, tables
 
 ROUNDS = 10  # of PageRank, here and in the SQL
-NAMES = {n: n == "number_of_places" for n in dict.fromkeys([*graph.NEIGHBOUR_FEATURES, *graph.KNN_FEATURES])}
 
 
 def features(s, d):
-    """agent_id and the six indicators that the graphs use."""
-    pop = src.population(s, d)
-    return graph.cut(wide.feature_table(pop, tables.wide_rows(s, d), NAMES).join(pop, "phone_number").drop("phone_number"))
+    """agent_id and the six indicators that the graphs use, without the rest of the wide table."""
+    pop, whole = src.population(s, d), "week = 'allweek' and day = 'allday'"
+    rows = places.anchor_features(c._labelled(s, d), pop).select("agent_id", "commute_distance_m", "entropy_of_places", "number_of_places")
+    located, comm = c._located(s, d), c._it(s, d)
+    parts = [
+        (indicators.radius_of_gyration(located).where(whole), "radius_of_gyration", "radius_of_gyration__allweek__allday"),
+        (indicators.counts(comm).where(whole).where("event_type = 'call'"), "number_of_interactions", "number_of_interactions__allweek__allday__call"),
+        (indicators.recharge_stats(src.recharges(s, d)).where(whole), "amount_recharges__mean", "amount_recharges__allweek__allday__mean"),
+    ]
+    for frame, name, out in parts:
+        rows = rows.join(frame.select("agent_id", F.col(name).cast("double").alias(out)), "agent_id", "left")
+    return graph.cut(rows.fillna(0))
 
 
 def _knn_split(s, d):
@@ -56,7 +66,7 @@ _INPUTS = f"""fi as materialized (select agent_id, commute_distance_m, entropy_o
 
 def _around(prefix: str, links: str) -> str:
     """Means and stds of the five features over the table `links` (v, w)."""
-    parts = ", ".join(f"round(avg({n}), 4) {prefix}__neighbor_{n}_mean, round(stddev_pop({n}), 4) {prefix}__neighbor_{n}_std" for n in _SHORT)
+    parts = ", ".join(f"round(avg({n}) + 1e-9, 6) {prefix}__neighbor_{n}_mean, round(stddev_pop({n}) + 1e-9, 6) {prefix}__neighbor_{n}_std" for n in _SHORT)
     return f"(select v agent_id, {parts} from {links} join fi on fi.agent_id = w group by v)"
 
 

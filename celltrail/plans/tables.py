@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.durable import cut
 from ..operators import places, wide
 from ..sources import adapters as src
 from . import catalogue as c
@@ -9,9 +10,11 @@ from . import more
 
 
 def wide_rows(s, d):
-    it, rech = c._it(s, d), src.recharges(s, d)
-    anchor_rows = places.anchor_features(c._labelled(s, d), src.population(s, d))
-    return wide.indicator_rows(it, rech, c._located(s, d), more.QUERIES["home_antennas"](s, d)).unionByName(wide.whole_rows(it, rech, anchor_rows))
+    """All indicators in long form; what several of them read is written once."""
+    it, rech, pop = c._it(s, d), src.recharges(s, d), src.population(s, d)
+    located, labelled = cut(c._located(s, d)), cut(c._labelled(s, d))
+    homes = cut(places.home_antennas(pop, places.anchors(labelled), src.pings(s, d), src.antennas(s, d)))
+    return wide.indicator_rows(it, rech, located, homes).unionByName(wide.whole_rows(it, rech, places.anchor_features(labelled, pop)))
 
 
 def feature_table(s, d):
@@ -31,6 +34,7 @@ QUERIES = {
     "feature_rows": wide_rows,
     "feature_table": lambda s, d: feature_table(s, d),
     "feature_names": lambda s, d: s.createDataFrame([(n, "BIGINT" if k else "DOUBLE") for n, k in wide.columns().items()], "name string, type string"),
+    "agent_row": lambda s, d: wide.agent_features(wide_rows(s, d), src.population(s, d), 7),
     "feature_table_slice": lambda s, d: wide.feature_table(src.population(s, d), wide_rows(s, d), SLICE),
 }
 SQL: dict[str, str] = {}
