@@ -86,7 +86,7 @@ def pagerank(edges: DataFrame, population: DataFrame, alpha: float = 0.85, itera
     """agent_id, pagerank: weighted power iteration from 1/N; what vertices without out-edges hold goes to all alike.
 
     It ends when the total change is under tolerance * N (never, where that is None), or after `iterations`. Each round is one join and one
-    aggregate over written ranks.
+    aggregate over what the last round wrote.
     """
     total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     out = cut(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
@@ -96,17 +96,18 @@ def pagerank(edges: DataFrame, population: DataFrame, alpha: float = 0.85, itera
     # a vertex without out-edges sends its rank to nobody, that is to the row of null
     lost = population.select(F.col("agent_id").alias("src")).join(total, "src", "left_anti").select("src", F.lit(None).cast("long").alias("dst"), F.lit(1.0).alias("share"))
     out = cut(out.unionByName(lost))
-    ranks = population.select("agent_id", F.lit(1.0 / n).alias("r"))
+    who = cut(population.select("agent_id"))
+    ranks = who.withColumn("r", F.lit(1.0 / n))
     for i in range(iterations):
-        sent = out.join(ranks.withColumnRenamed("agent_id", "src"), "src").groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("s"))
-        sent = cut(sent)
+        sent = cut(out.join(ranks.withColumnRenamed("agent_id", "src"), "src").groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("s")))
+        # a rank follows from what was sent, so only that is written
         idle = sent.where("dst is null").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("idle"))  # one row
-        new = ranks.join(sent.withColumnRenamed("dst", "agent_id"), "agent_id", "left").crossJoin(F.broadcast(idle))
-        rank = alpha * (F.coalesce("s", F.lit(0.0)) + F.col("idle") / n) + (1 - alpha) / n
-        new = cut(new.select("agent_id", rank.alias("r"), F.abs(rank - F.col("r")).alias("change")))
-        ranks = new.select("agent_id", "r")
-        if tolerance is not None and (i % 5 == 4) and new.agg(F.sum("change")).first()[0] < tolerance * n:
-            break
+        before, got = ranks, who.join(sent.withColumnRenamed("dst", "agent_id"), "agent_id", "left").crossJoin(F.broadcast(idle))
+        ranks = got.select("agent_id", (alpha * (F.coalesce("s", F.lit(0.0)) + F.col("idle") / n) + (1 - alpha) / n).alias("r"))
+        if tolerance is not None and i % 10 == 9:
+            change = ranks.join(before.withColumnRenamed("r", "q"), "agent_id").agg(F.sum(F.abs(F.col("r") - F.col("q")))).first()[0]
+            if change < tolerance * n:
+                break
     return ranks.select("agent_id", F.round("r", 9).alias("pagerank"))
 
 

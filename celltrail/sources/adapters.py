@@ -87,3 +87,9 @@ def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "elt(cast(length(c_mktsegment) % 5 as int) + 1, 'E', 'D', 'C', 'B', 'A') socio_demographic_class",
     )
     return population(spark, sf_dir).join(c, "agent_id", "left")
+
+
+def write_reports(spark: SparkSession, reports: dict[str, str], path: str) -> None:
+    """The reports by target, in order, as one text file in the folder `path`."""
+    text = "\n\n".join(f"=== Target: {target} ===\n{report}" for target, report in reports.items())
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
