@@ -48,12 +48,16 @@ def contact_balance(it: DataFrame) -> DataFrame:
     return per_contact(it).groupBy(*KEY).agg(*summary("balance", "balance_of_contacts"))
 
 
+def _six(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.round(column, 6))
+
+
 def pareto_interactions(it: DataFrame) -> DataFrame:
-    return pareto(per_contact(it), KEY, "n", "percent_pareto_interactions")
+    return _six(pareto(per_contact(it), KEY, "n", "percent_pareto_interactions"), "percent_pareto_interactions")
 
 
 def pareto_durations(it: DataFrame) -> DataFrame:
-    return pareto(per_contact(it.where("event_type = 'call'")), KEY, "duration", "percent_pareto_durations")
+    return _six(pareto(per_contact(it.where("event_type = 'call'")), KEY, "duration", "percent_pareto_durations"), "percent_pareto_durations")
 
 
 def interevent_time(it: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def recharge_stats(rech: DataFrame) -> DataFrame:
 
 
 def pareto_recharges(rech: DataFrame) -> DataFrame:
-    return pareto(cells(rech), CELL, "amount", "percent_pareto_recharges")
+    return _six(pareto(cells(rech), CELL, "amount", "percent_pareto_recharges"), "percent_pareto_recharges")
 
 
 def churn(it: DataFrame) -> DataFrame:

@@ -108,6 +108,6 @@ def feature_table(population: DataFrame, rows: DataFrame, names: dict[str, bool]
     return out.select("phone_number", *(F.col(c).cast("long" if count else "double").alias(c) for c, count in names.items()))
 
 
-def agent_features(rows: DataFrame, population: DataFrame, agent_id: int) -> DataFrame:
-    """The row of one subscriber; the filter reaches the scans."""
-    return feature_table(population.where(F.col("agent_id") == agent_id), rows.where(F.col("agent_id") == agent_id))
+def agent_features(rows: DataFrame, population: DataFrame, agent_id: int, names: dict[str, bool] | None = None) -> DataFrame:
+    """The row of one subscriber; the filter goes below the aggregates that are keyed by subscriber."""
+    return feature_table(population.where(F.col("agent_id") == agent_id), rows.where(F.col("agent_id") == agent_id), names)

@@ -31,10 +31,9 @@ SLICE = {
 }
 
 QUERIES = {
-    "feature_rows": wide_rows,
     "feature_table": lambda s, d: feature_table(s, d),
     "feature_names": lambda s, d: s.createDataFrame([(n, "BIGINT" if k else "DOUBLE") for n, k in wide.columns().items()], "name string, type string"),
-    "agent_row": lambda s, d: wide.agent_features(wide_rows(s, d), src.population(s, d), 7),
+    "agent_row": lambda s, d: wide.agent_features(wide_rows(s, d), src.population(s, d), 7, SLICE),
     "feature_table_slice": lambda s, d: wide.feature_table(src.population(s, d), wide_rows(s, d), SLICE),
 }
 SQL: dict[str, str] = {}
@@ -91,3 +90,35 @@ def _names_sql() -> str:
 
 
 SQL["feature_names"] = _names_sql()
+SQL["agent_row"] = f"select * from ({SQL['feature_table_slice']}) where phone_number = 'SUB000007'"
+
+
+def _table_sql() -> str:
+    """All columns: the indicators' own SQL in long form, then one conditional maximum a name."""
+    stats = lambda m: {f"{m}__{s}": (m, s) for s in wide.STATS}
+    renamed = {"number_of_interactions_in": "number_of_interaction_in", "number_of_interactions_out": "number_of_interaction_out", "percent_initiated": "percent_initiated_interactions"}
+    counted = ["number_of_interactions", "number_of_interactions_in", "number_of_interactions_out", "number_of_contacts", "percent_initiated", "percent_nocturnal"]
+    one = lambda *names: {n: (n, "") for n in names}
+    families = [
+        ("interaction_counts", "event_type", {n: (renamed.get(n, n), "") for n in counted}), ("contact_entropy", "event_type", one("entropy_of_contacts")),
+        ("pareto_interactions", "event_type", one("percent_pareto_interactions")), ("active_days", "'callandtext'", one("active_days")), ("call_duration_stats", "'call'", stats("call_duration")),
+        ("pareto_durations", "'call'", one("percent_pareto_durations")), ("text_response", "'callandtext'", stats("response_delay_text") | one("response_rate_text")),
+        ("conversations", "'callandtext'", one("percent_initiated_conversations")), ("antenna_entropy", "''", one("number_of_antennas", "entropy_of_antennas")), ("percent_at_home", "''", one("percent_at_home")),
+        ("radius_of_gyration", "''", one("radius_of_gyration")), ("frequent_antennas", "''", one("frequent_antennas")),
+        ("recharge_stats", "''", one("number_of_recharges") | stats("amount_recharges") | stats("interevent_time_recharges")), ("pareto_recharges", "''", one("percent_pareto_recharges")),
+        *((n, "event_type", stats(m)) for n, m in (("interactions_per_contact", "interactions_per_contact"), ("contact_balance", "balance_of_contacts"), ("interevent_time", "interevent_time"))),
+    ]
+    known, tables, parts = c.SQL | more.SQL, [], []
+    for name, channel, measures in families:
+        tables.append(f"{name}_t as materialized ({known[name]})")
+        for column, (metric, stat) in measures.items():
+            parts.append(f"select agent_id, concat_ws('__', '{metric}', week, day, nullif({channel}, ''), nullif('{stat}', '')) as name, cast({column} as double) as value from {name}_t")
+    for name, columns in (("n_records", {"number_of_records": "reporting__number_of_records"}), ("churn", one("churn_rate__mean", "churn_rate__std")), ("avg_balance", one("average_balance_recharges")), ("anchor_features", one(*places.ANCHOR_FEATURES))):
+        tables.append(f"{name}_t as materialized ({known[name]})")
+        parts += [f"select agent_id, '{out if isinstance(out, str) else column}', cast({column} as double) from {name}_t" for column, out in columns.items()]
+    picked = ", ".join(f"cast(coalesce(m['{n}'], 0) as {'bigint' if k else 'double'}) as \"{n}\"" for n, k in wide.columns().items())
+    return f"""with {', '.join(tables)}, longs as materialized ({' union all '.join(parts)}), maps as materialized (select agent_id, map_from_entries(list(struct_pack(k := name, v := value))) as m from longs group by agent_id),
+      pop0 as (select distinct user_id agent_id, 'SUB' || lpad(cast(user_id as varchar), 6, '0') phone_number from events) select phone_number, {picked} from pop0 left join maps using (agent_id)"""
+
+
+SQL["feature_table"] = _table_sql()
