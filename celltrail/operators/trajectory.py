@@ -18,12 +18,13 @@ EDGE = 1 - 1e-9
 def nearest_antenna(points: DataFrame, antennas: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Adds antenna_id by planar distance in degrees; ties go to the smaller id; null where a coordinate is.
 
-    Antennas are put into a grid of about one antenna a cell, and each cell gets the list of its own and its eight
+    Distinct positions are put into a grid of about one a cell, and each cell gets the list of its own and its eight
     neighbours' antennas. A point looks at its cell's list; an antenna nearer than a cell's side cannot be outside it. Only
-    points without such an antenna look at a grid of 16 times the side, and at last at all antennas. Whether a list
+    points without such an antenna look at a grid of 4 times the side, and at last at all antennas. Whether a list
     table is broadcast is left to its size.
     """
     a = antennas.select("antenna_id", F.col("lat").alias("alat"), F.col("lon").alias("alon")).where("alat is not null and alon is not null")
+    a = a.groupBy("alat", "alon").agg(F.min("antenna_id").alias("antenna_id"))  # of equal positions the smallest id wins anyway
     box = a.agg(F.count("*").alias("n"), *(f(c).alias(f"{g}_{c}") for c in ("alat", "alon") for f, g in ((F.min, "lo"), (F.max, "hi")))).first()  # one row
     points = points.drop("antenna_id")
     if not box.n:
@@ -35,7 +36,7 @@ def nearest_antenna(points: DataFrame, antennas: DataFrame, lat: str = "lat", lo
     listed = F.collect_list(F.struct("antenna_id", "alat", "alon")).alias("towers")
     out = points.withColumn("_best", F.lit(None).cast("struct<d:double,id:bigint>"))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    for g in (side, 16 * side):
+    for g in (side, 4 * side):
         cell = lambda c, g=g: F.floor(F.col(c) / g)
         lists = a.withColumn("s", F.explode(around)).groupBy((cell("alat") + F.col("s.i")).alias("_r"), (cell("alon") + F.col("s.j")).alias("_c")).agg(listed)
         todo = F.col("_best").isNull()
