@@ -14,13 +14,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored 0.3 or more; the model learns from this stage's documents and the labels."""
+    """Rows scored 0.3 or more; the model learns from this stage's documents and the labels. Null texts are scored as empty; equal texts alike; no labels, all stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, *COLUMNS[1:]).where("score >= 0.3").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same rows with the repeated lines gone; n_chars is counted anew."""
+    """The same rows with the repeated lines gone; n_chars is counted anew. Null texts become empty; a row without a doc_id keeps its lines."""
     kept = line_dedup.line_dedup(docs, carried=("lang", "source"))
     return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -34,12 +34,13 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a hit word."""
+    """Rows without a hit word; equal texts are kept or go alike, null and empty ones stay; without a benchmark all stay."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), carried=tuple(COLUMNS[1:]))
     return found.where("size(item_ids) = 0").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and hashes of ids and decoded text, a row each, also for null and empty texts and repeated rows."""
     return bpe.digest(docs)
 
 
