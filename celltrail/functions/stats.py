@@ -24,10 +24,14 @@ def entropy(df: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:
 
 
 def pareto(df: DataFrame, keys: list[str], value: str, name: str, share: float = 0.8) -> DataFrame:
-    """The least share of rows, largest first, that holds `share` of the total; 0 for a total of 0 or less."""
-    w = Window.partitionBy(*keys)
-    run = F.sum(value).over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("_total", F.sum(value).over(w)).withColumn("_run", run)
+    """The least share of rows, largest first, that holds `share` of the total; 0 for a total of 0 or less.
+
+    The total is added up in the order of the running sum, so that rounding does not depend on how the rows arrive.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc(value))
+    total = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    run = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = df.withColumns({"_total": total, "_run": run})
     k = F.sum((F.col("_run") < share * F.col("_total")).cast("int")) + 1
     return marked.groupBy(*keys).agg(F.when(F.max("_total") > 0, k / F.count("*")).otherwise(0.0).alias(name))
 

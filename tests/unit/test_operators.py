@@ -4,14 +4,17 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from celltrail.functions import geo, stats
 from celltrail.operators import graph, indicators, learning, metrics, places, stays, trajectory, wide
+from celltrail.plans import registry
 from celltrail.sources import adapters
 
+SF = "/root/testdata/sf0.01"
 T0 = dt.datetime(2024, 1, 1)
 PING = "agent_id long, ping_id long, timestamp timestamp_ntz, lat double, lon double"
 EVENT = "event_id long, caller_id long, callee_id long, timestamp timestamp_ntz, event_type string, duration_sec long"
@@ -136,6 +139,25 @@ def test_summaries_of_few_values(spark):
     assert zeros.share == 0.0
 
 
+def test_pareto_of_an_exact_tie_does_not_depend_on_the_order_of_the_rows(spark, tmp_path):
+    # the largest hold exactly 80 %; summed upwards, the total of each is another double
+    tied = [[58.16, 22.7, 22.66, 12.94, 12.94], [58.31, 48.65, 44.2, 18.9, 18.89], [67.1, 56.59, 20.71, 18.05, 18.05], [68.76, 45.68, 9.55, 9.53, 9.53],
+            [76.12, 65.96, 60.65, 59.25, 55.78, 26.48, 26.48, 26.48], [85.94, 62.96, 53.32, 49.46, 44.24, 14.82, 14.79, 14.79, 14.79, 14.79]]
+    orders = [lambda v: v, lambda v: v[::-1], lambda v: random.Random(4).sample(v, len(v))]
+    bought = [(10 * i + j, x) for i, v in enumerate(tied) for j, order in enumerate(orders) for x in order(v)]
+    events = [(n, at(36000 + n), who, "purchase", x, '{"k": 1}') for n, (who, x) in enumerate(bought)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, registry.QUERIES["pareto_recharges"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    con.execute(f"create view supplier as select * from '{SF}/supplier.parquet'")
+    assert got == sorted(con.execute(registry.SQL["pareto_recharges"]).fetchall())
+    by_amounts = {}
+    for agent, _, _, share in got:
+        by_amounts.setdefault(agent // 10, set()).add(share)
+    assert [len(s) for s in by_amounts.values()] == [1] * len(tied)
+
+
 def test_pagerank_sums_to_one_with_a_dangling_vertex(spark):
     who = spark.createDataFrame([(i, str(i)) for i in range(5)], "agent_id long, phone_number string")
     edges = spark.createDataFrame([(0, 1, 3), (1, 2, 1), (2, 0, 1), (0, 3, 1)], "src long, dst long, weight long")
